@@ -77,7 +77,7 @@ def simple_paths(pairs: DataFrame, dag: DataFrame, max_paths: int, max_length: i
 
     One more than ``max_paths`` per pair, so that the caller can see an overflow.
     """
-    steps = dag.select("parent", "child")
+    steps = durable(dag.select("parent", "child"))
     frontier = pairs.select("start", "end", F.array("start").alias("path"))
     frontier = durable(frontier)
     found = frontier.where(F.col("start") == F.col("end"))
@@ -106,7 +106,7 @@ def simple_cycles(edges: DataFrame, max_cycles: int, max_length: int) -> DataFra
 
     Shortest first, at most ``max_cycles``.
     """
-    steps = edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct()
+    steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
     frontier = durable(
         steps.where(F.col("parent") < F.col("child")).select(F.array("parent", "child").alias("path"))
     )
@@ -226,6 +226,7 @@ def separation_aware_paths(sources: DataFrame, blanket: DataFrame, observed: Dat
     node). A breadth-first frontier keyed by (source, node, previous node) grows one hop
     per round; among equally short paths parents come before children, then by name.
     """
+    dag = durable(dag.select("parent", "child"))
     closure = descendants(dag)
     steps = durable(
         dag.select(F.col("child").alias("at"), F.col("parent").alias("to"), F.concat(F.lit("0"), "parent").alias("tag"))
@@ -246,9 +247,11 @@ def separation_aware_paths(sources: DataFrame, blanket: DataFrame, observed: Dat
                             F.col("prev").alias("before"), F.col("at").alias("prev"), F.col("to").alias("at"))
         first = ends.where(F.col("before").isNull())
         later = ends.where(F.col("before").isNotNull())
-        triples = later.withColumnsRenamed({"before": "prev", "prev": "mid", "at": "next"})
-        open_ = d_connected(triples, dag, observed, closure).where("connected").drop("connected")
-        later = open_.withColumnsRenamed({"prev": "before", "mid": "prev", "next": "at"})
+        triples = later.select(*keys, "path", "trail", F.col("before").alias("prev"),
+                               F.col("prev").alias("mid"), F.col("at").alias("next"))
+        open_ = d_connected(triples, dag, observed, closure).where("connected")
+        later = open_.select(*keys, "path", "trail", F.col("prev").alias("before"),
+                             F.col("mid").alias("prev"), F.col("next").alias("at"))
         moved = first.unionByName(later).drop("before")
         moved = moved.join(visited, [*keys, "at", "prev"], "left_anti")
         moved = moved.groupBy(*keys, "at", "prev").agg(F.min(F.struct("trail", "path")).alias("m")).select(
