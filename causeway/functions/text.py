@@ -18,8 +18,13 @@ BIT = r"\b([01])\b"
 CYCLE_EDIT = r"(?im)^\s*(Remove|Reverse)\s*:\s*(.+?)\s+and\s+(.+?)\s*$"
 
 
+def strip(c: Column) -> Column:
+    """Without white space (line breaks included) at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def unquote(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"""^['"]+|['"]+$""", "")
+    return F.regexp_replace(strip(c), r"""^['"]+|['"]+$""", "")
 
 
 def has_list(text: Column) -> Column:
@@ -55,7 +60,7 @@ def parse_tuples(text: Column) -> Column:
 
 def parse_edit(text: Column) -> Column:
     """(action, parent, child): add, delete or terminate; NULL if it is neither."""
-    line = F.trim(text)
+    line = strip(text)
     verb = F.regexp_extract(line, EDIT, 1)
     edit = F.struct(
         F.when(verb == "add_edge", "add").otherwise("delete").alias("action"),
@@ -75,7 +80,7 @@ def parse_number(text: Column) -> Column:
 
 def parse_verdict(text: Column) -> Column:
     """KEEP, FLIP or REMOVE, the likeliest (first among equals); NULL if a number is missing."""
-    body = F.trim(F.regexp_replace(text, FENCE, ""))
+    body = strip(F.regexp_replace(text, FENCE, ""))
     fields = F.from_json(body, "KEEP string, FLIP string, REMOVE string")
     k = fields["KEEP"].try_cast("double")
     f = fields["FLIP"].try_cast("double")
@@ -87,7 +92,7 @@ def parse_verdict(text: Column) -> Column:
 
 def parse_bit(text: Column) -> Column:
     """The digit 0 or 1 standing alone in the first line; NULL otherwise."""
-    line = F.split(F.trim(text), r"\R")[0]
+    line = F.split(strip(text), r"\R")[0]
     return F.nullif(F.regexp_extract(line, BIT, 1), F.lit("")).cast("int")
 
 
@@ -97,7 +102,7 @@ def parse_cycle_edit(text: Column, cycle: Column) -> Column:
     firsts = F.regexp_extract_all(text, F.lit(CYCLE_EDIT), F.lit(2))
     seconds = F.regexp_extract_all(text, F.lit(CYCLE_EDIT), F.lit(3))
     lines = F.transform(F.arrays_zip(verbs.alias("v"), firsts.alias("a"), seconds.alias("b")), lambda z: F.struct(
-        F.initcap(z["v"]).alias("action"), F.trim(z["a"]).alias("a"), F.trim(z["b"]).alias("b")
+        F.initcap(z["v"]).alias("action"), strip(z["a"]).alias("a"), strip(z["b"]).alias("b")
     ))
     inside = F.filter(lines, lambda e: F.array_contains(cycle, e["a"]) & F.array_contains(cycle, e["b"]))
     return F.get(inside, 0)
@@ -106,16 +111,16 @@ def parse_cycle_edit(text: Column, cycle: Column) -> Column:
 def parse_tagged(text: Column, tag: str = "Answer") -> Column:
     """Comma-separated names between <tag> and </tag>; NULL without both tags."""
     body = rf"(?s)<{tag}>(.*?)</{tag}>"
-    names = F.transform(F.split(F.regexp_extract(text, body, 1), ","), lambda s: F.trim(s))
+    names = F.transform(F.split(F.regexp_extract(text, body, 1), ","), lambda s: strip(s))
     found = F.regexp_like(text, F.lit(body))
     return F.when(found, F.filter(names, lambda s: s != ""))
 
 
-NODES = "nodes: array<struct<node_name: string, parents: array<string>>>"
+NODES = "array<struct<node_name: string, parents: array<string>>>"
 
 
 def parse_network(text: Column) -> Column:
     """Nodes with their parents from a (fenced) JSON document; the nodes may lie under ``bn``."""
-    body = F.trim(F.regexp_replace(text, FENCE, ""))
-    outer = F.from_json(body, f"bn struct<{NODES}>, {NODES}", {"allowUnquotedControlChars": "true"})
+    body = strip(F.regexp_replace(text, FENCE, ""))
+    outer = F.from_json(body, f"bn struct<nodes: {NODES}>, nodes {NODES}", {"allowUnquotedControlChars": "true"})
     return F.coalesce(outer["bn"]["nodes"], outer["nodes"])

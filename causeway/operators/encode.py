@@ -101,20 +101,24 @@ def encode_table(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     """
     columns = list(columns)
     out = durable(spread(as_text(df.select(*keep, *columns), columns)))
-    book = durable(codebook(out, columns, max_states))
+    found = collect_bounded(
+        state_counts(out, columns).select("var", "state"), "states", max_states * len(columns)
+    )
     states: dict[str, list[str]] = {c: [] for c in columns}
-    for row in collect_bounded(book.select("var", "code", "state").orderBy("var", "code"),
-                               "codebook"):
+    for row in found:
         states[row["var"]].append(row["state"])
+    for c in columns:
+        if len(states[c]) > max_states:
+            raise ValueError(f"more than {max_states} states in {c}")
+        states[c].sort()
     coded = []
     for c in columns:
         if len(states[c]) <= INLINE_STATES:
             known = F.array(*[F.lit(s) for s in states[c]])
             coded.append((F.array_position(known, F.col(c)) - 1).cast("int").alias(c))
             continue
-        side = book.where(F.col("var") == c).select(
-            F.col("state").alias(c), F.col("code").cast("int").alias(f"{c}__code")
-        )
+        listed = [(s, i) for i, s in enumerate(states[c])]
+        side = local_frame(df.sparkSession, listed, f"`{c}` string, `{c}__code` int")
         out = out.join(F.broadcast(side) if len(states[c]) <= BROADCAST_ROWS else side, c, "left")
         coded.append(F.col(f"{c}__code").alias(c))
     out = out.select(*keep, *coded)

@@ -90,7 +90,7 @@ def simple_paths(pairs: DataFrame, dag: DataFrame, max_paths: int, max_length: i
         ).select("start", "end", F.concat("path", F.array("child")).alias("path"))
         grown = durable(grown)
         done = F.element_at("path", -1) == F.col("end")
-        found = durable(found.unionByName(grown.where(done)))
+        found = found.unionByName(grown.where(done))
         frontier = grown.where(~done)
         full = found.groupBy("start", "end").count().where(F.col("count") > max_paths)
         frontier = frontier.join(full.select("start", "end"), ["start", "end"], "left_anti")
@@ -118,7 +118,7 @@ def simple_cycles(edges: DataFrame, max_cycles: int, max_length: int) -> DataFra
             .select("path", "child")
         )
         closing = F.col("child") == F.col("path")[0]
-        found = durable(found.union(grown.where(closing).select("path")))
+        found = found.union(grown.where(closing).select("path"))
         frontier = grown.where(~F.array_contains("path", F.col("child"))).select(
             F.concat("path", F.array("child")).alias("path")
         )

@@ -107,8 +107,7 @@ def _step(walks: DataFrame, network: Network, hop: int, seed: int) -> DataFrame:
 
     Entry nodes are never observed, but nodes before them may be: those keep their value.
     """
-    here = F.element_at("path", hop + 1)
-    walks = walks.withColumn("node", here)
+    walks = walks.withColumn("node", F.get("path", hop))
     hard = walks.where(F.map_contains_key("context", F.col("node"))).withColumn(
         "state", F.col("context")[F.col("node")]
     )
