@@ -8,6 +8,7 @@ from typing import NamedTuple, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.functions.mathx import chi2_tail
 from causeway.operators.counts import Family, family_counts
@@ -26,7 +27,7 @@ class Test(NamedTuple):
     s: tuple[str, ...]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(s, d) for s, d in zip(stat, dof)])
 

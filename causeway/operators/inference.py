@@ -167,7 +167,10 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
         F.map_from_entries(F.collect_list(F.struct("state", "w"))).alias("w"),
         F.sum("w").alias("total"),
     )
-    dist = F.when(F.col("total") > 0, F.transform_values("w", lambda s, w: w / F.col("total")))
+    # impossible states left no rows; they belong in the answer with probability zero
+    every = F.element_at(catalogue, F.col("target"))
+    share = F.transform(every, lambda s: F.coalesce(F.col("w")[s], F.lit(0.0)) / F.col("total"))
+    dist = F.when(F.col("total") > 0, F.map_from_arrays(every, share))
     answers = total.select("target", "ev_key", dist.alias("dist"))
     found = keyed.join(answers, ["target", "ev_key"], "left").select(id_col, "target", "dist")
     lost = queries.where(~F.col("target").isin(list(network.nodes)) | F.col("target").isNull()).select(

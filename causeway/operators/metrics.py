@@ -57,12 +57,11 @@ def relation_counts(truth: DataFrame, learned: DataFrame, nodes: DataFrame) -> D
     seen = pair_relations(truth, learned).groupBy(
         F.col("gt_rel").alias("truth"), F.col("learned_rel").alias("pred")
     ).agg(F.count("*").alias("n"))
-    size = nodes.select("node").distinct().agg(F.count("*").alias("k"))
-    known = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-    rest = (
-        size.withColumn("j", F.lit(1)).join(known.withColumn("j", F.lit(1)), "j")
-        .select(F.lit("none").alias("truth"), F.lit("none").alias("pred"),
-                (F.expr("k * (k - 1) div 2") - F.col("s")).alias("n"))
+    known = seen.select(F.col("n").alias("s"), F.lit(0).cast("bigint").alias("k"))
+    every = nodes.select("node").distinct().select(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
+    rest = known.union(every).agg(F.sum("s").alias("s"), F.sum("k").alias("k")).select(
+        F.lit("none").alias("truth"), F.lit("none").alias("pred"),
+        (F.expr("k * (k - 1) div 2") - F.col("s")).alias("n"),
     )
     grid = local_frame(spark, [(t, p) for t in RELATIONS for p in RELATIONS], "truth string, pred string")
     total = seen.unionByName(rest).groupBy("truth", "pred").agg(F.sum("n").alias("n"))
@@ -113,21 +112,14 @@ def classification_metrics(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFr
     confusion = pairs.select(
         *keys, F.col("truth").cast("string").alias("truth"), F.col("pred").cast("string").alias("pred")
     ).groupBy(*keys, "truth", "pred").agg(F.count("*").alias("n"))
-    labels = per_label(confusion, keys)
-    base = confusion.groupBy(*keys).agg(
-        F.sum("n").alias("n_samples"),
-        F.count_distinct("truth").alias("true_classes"),
-        (F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-    )
-    scored = labels.groupBy(*keys).agg(
-        F.count("*").alias("n_classes"),
+    # every row is a hit or a miss of its own true label, so the labels hold all totals
+    actual = F.col("tp") + F.col("fn")
+    joined = per_label(confusion, keys).groupBy(*keys).agg(
+        F.sum(actual).alias("n_samples"), F.count_if(actual > 0).alias("true_classes"),
+        (F.sum("tp") / F.sum(actual)).alias("accuracy"), F.count("*").alias("n_classes"),
         *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
         *[F.max_by(m, "label").alias(f"second_{m}") for m in ("precision", "recall", "f1")],
     )
-    if keys:
-        joined = base.join(scored, list(keys))
-    else:
-        joined = base.withColumn("j", F.lit(1)).join(scored.withColumn("j", F.lit(1)), "j")
     single = F.col("true_classes") < 2
 
     def pick(m: str) -> Column:
@@ -182,25 +174,37 @@ def structure_report(learned: DataFrame, learned_nodes: DataFrame, truth: DataFr
     """One row with fourteen fields comparing a learned graph with the true one."""
     nodes = union_nodes(learned_nodes, truth_nodes)
     confusion = relation_counts(truth, learned, nodes)
-    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("j", F.lit(1))
     keys = ["parent", "child"]
-    parts = [
-        macro_scores(confusion).withColumn("j", F.lit(1)),
-        confusion.agg(
-            F.sum("n").alias("num_pairs"),
-            F.sum(F.when(F.col("truth") != F.col("pred"), F.col("n")).otherwise(0)).alias("differ"),
-        ).withColumn("j", F.lit(1)),
-        one(correct_edges(learned, truth), "num_correct_edges"),
-        one(reversed_edges(learned, truth), "num_reversed_edges"),
-        one(unmatched_edges(learned, truth), "num_incorrect_edges"),
-        one(unmatched_edges(truth, learned), "num_missing_edges"),
-        one(truth.select(*keys).distinct(), "num_gt_edges"),
-        one(learned.select(*keys).distinct(), "num_learned_edges"),
-        one(nodes, "num_nodes"),
-    ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.join(part, "j")
+
+    def tall(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select(F.explode(entries).alias("e")).select("e.name", "e.value")
+
+    def size(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
+
+    differing = F.sum(F.when(F.col("truth") != F.col("pred"), F.col("n")).otherwise(0))
+    counts = {
+        "num_correct_edges": correct_edges(learned, truth),
+        "num_reversed_edges": reversed_edges(learned, truth),
+        "num_incorrect_edges": unmatched_edges(learned, truth),
+        "num_missing_edges": unmatched_edges(truth, learned),
+        "num_gt_edges": truth.select(*keys).distinct(),
+        "num_learned_edges": learned.select(*keys).distinct(),
+        "num_nodes": nodes,
+    }
+    rows = tall(macro_scores(confusion), ["precision_macro", "recall_macro", "f1_macro"]).union(
+        tall(confusion.agg(F.sum("n").alias("num_pairs"), differing.alias("differ")), ["num_pairs", "differ"])
+    )
+    for name, df in counts.items():
+        rows = rows.union(size(df, name))
+
+    def value(name: str) -> Column:
+        number = F.max(F.when(F.col("name") == name, F.col("value")))
+        return (number.cast("bigint") if name.startswith("num_") else number).alias(name)
+
+    fields = ["precision_macro", "recall_macro", "f1_macro", "num_pairs", "differ", *counts]
+    row = rows.agg(*[value(n) for n in fields])
     zero = F.lit(0.0)
     hits = F.col("num_correct_edges")
     row = row.withColumn(

@@ -127,9 +127,10 @@ def sepset_colliders(spark, sf):
     dag, nation = trade.graph(spark, sf), w.table(spark, sf, "nation")
     skeleton = durable(dag.select(F.least("parent", "child").alias("a"), F.greatest("parent", "child").alias("b")).distinct())
     region = nation.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("s"))
-    left = nation.join(region, "n_regionkey").select(F.col("n_name").alias("a"), "s")
-    right = nation.select(F.col("n_name").alias("b"))
-    sep = left.join(right, F.col("a") < F.col("b")).join(skeleton, ["a", "b"], "left_anti")
+    sets = nation.join(region, "n_regionkey").select(F.col("n_name").alias("a"), "s")
+    ends = skeleton.select("a", "b").union(skeleton.select("b", "a")).toDF("a", "mid")
+    apart = ends.join(ends.toDF("b", "mid"), "mid").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    sep = apart.join(skeleton, ["a", "b"], "left_anti").join(sets, "a")
     return graph.sepset_colliders(skeleton, sep)
 
 
@@ -174,7 +175,8 @@ def separation_aware_paths(spark, sf):
         F.col("n_regionkey").alias("query_id"), "node"
     )
     seen = nation.where(F.col("n_nationkey") % 2 == 0).select(F.col("n_name").alias("node"))
-    observed = target.select(F.col("n_regionkey").alias("query_id")).join(seen, F.lit(True))
+    regions = sorted(r["r_regionkey"] for r in w.table(spark, sf, "region").collect())
+    observed = seen.select(F.explode(F.array(*[F.lit(r) for r in regions])).alias("query_id"), "node")
     sources = observed.withColumnRenamed("node", "source").join(
         goal.withColumnRenamed("node", "source"), ["query_id", "source"], "left_anti"
     )

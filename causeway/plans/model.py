@@ -9,10 +9,16 @@ from typing import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.config import AdvisedConfig, ConstraintConfig, FullSearchConfig, ModelConfig, SubsampleConfig
-from causeway.operators import inference, propagation
+from causeway.config import AdvisedConfig, AnswerConfig, ModelConfig
+from causeway.operators import advice, inference, propagation
+from causeway.operators.encode import state_catalogue
 from causeway.plans.advised import AdvisedLearner
-from causeway.plans.full_table import advised_constraint_search, constraint_search, greedy_search
+from causeway.plans.full_table import (
+    advised_constraint_search,
+    constraint_search,
+    greedy_search,
+    structure_from_document,
+)
 from causeway.plans.network import Network, ParametersNotFitted, fit_blankets, fit_global
 from causeway.plans.subsample import learn_subsampled
 from causeway.session import collect_bounded, local_frame
@@ -130,6 +136,17 @@ def _advised(flags: Mapping[str, bool]) -> Learn:
     return learn
 
 
+def _document(df, config: AnswerConfig, key, advisor, dictionary):
+    """Ask once for the whole structure."""
+    columns = [c for c in df.columns if c != key and c not in config.ignore_columns]
+    spark = df.sparkSession
+    known = dictionary if dictionary is not None else local_frame(spark, [], "var string, description string")
+    asked = advice.render_variables(state_catalogue(df, columns), known)
+    answers = advisor.answer(asked, "structure_generation").select("run_id", "content")
+    nodes = local_frame(spark, [(c,) for c in columns], "node string")
+    return _edges(structure_from_document(answers, nodes, config))
+
+
 def _flags(names, **extra) -> dict[str, bool]:
     return {**{a: a in names for a in AUGMENTATIONS}, **extra}
 
@@ -139,6 +156,7 @@ LEARNERS: dict[str, Learn] = {
     "ges": lambda df, c, key, a, d: greedy_search(df, c, key),
     "pc": lambda df, c, key, a, d: constraint_search(df, c, key),
     "advised_pc": lambda df, c, key, a, d: advised_constraint_search(df, c, a, key),
+    "document": _document,
     "advised_all": _advised(_flags(AUGMENTATIONS)),
     **{f"advised_{x}": _advised(_flags([x])) for x in AUGMENTATIONS},
     **{f"advised_without_{x}": _advised(_flags([y for y in AUGMENTATIONS if y != x])) for x in AUGMENTATIONS},
@@ -147,4 +165,4 @@ LEARNERS: dict[str, Learn] = {
     "advised_all_narrow_refinement": _advised(_flags(AUGMENTATIONS, confounder_review=True, orphan_repair=True)),
 }
 
-__all__ = ["LEARNERS", "Model", "ParametersNotFitted", "fit", "ConstraintConfig", "FullSearchConfig", "SubsampleConfig"]
+__all__ = ["LEARNERS", "Model", "ParametersNotFitted", "fit"]
