@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from typing import Iterator, Mapping, Sequence
+from typing import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,16 +59,20 @@ def membership(key: Sequence[Column], num_samples: int, rate: float, seed: int,
 
 def sample_rows(df: DataFrame, key: Sequence[str], num_samples: int, k: int, seed: int,
                 total: int | None = None, portable: bool = False,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None,
+                shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Draw ``num_samples`` row samples without replacement, exactly min(rows, k) each.
 
     ``key`` must identify rows. Adds ``sample_id``. The table is scanned once and only the
     drawn rows are shuffled; one group holds about k rows whatever the table size.
+    ``shape`` can slim drawn rows (which must keep key and ``sample_id``) before the shuffle.
     """
     total = df.count() if total is None else total
     cols = [F.col(c) for c in key]
     keep, ids = membership(cols, num_samples, membership_rate(total, k), seed, portable)
     drawn = df.where(keep).withColumn("sample_id", F.explode(ids))
+    if shape is not None:
+        drawn = shape(drawn)
     drawn = drawn.withColumn(
         "draw", hash_bits(*cols, F.col("sample_id") + seed, "rank", portable=portable)
     )

@@ -110,15 +110,20 @@ def search_samples(prepared: Prepared, key: str, plan: DataFrame, num_samples: i
     position = F.create_map(*[
         part for i, c in enumerate(prepared.columns) for part in (F.lit(c), F.lit(i))
     ])
-    plan = plan.select("sample_id", "cols", F.transform("cols", lambda c: position[c]).alias("at"))
-    plan = F.broadcast(plan) if num_samples <= BROADCAST_ROWS else plan
+    small = num_samples <= BROADCAST_ROWS
+    at = plan.select("sample_id", F.transform("cols", lambda c: position[c]).alias("at"))
+    names = plan.select("sample_id", "cols")
+    at, names = (F.broadcast(at), F.broadcast(names)) if small else (at, names)
     parts = min(num_samples, 4 * spark.sparkContext.defaultParallelism)
+
+    def slim(drawn: DataFrame) -> DataFrame:
+        cells = F.transform("at", lambda i: F.element_at("cells", i + 1))
+        return drawn.join(at, "sample_id").select(key, "sample_id", cells.alias("cells"))
+
     drawn = sampling.sample_rows(
-        prepared.rows, [key], num_samples, k, config.random_seed, prepared.total, partitions=parts
-    )
-    slim = drawn.join(plan, "sample_id").select(
-        "sample_id", "cols", F.transform("at", lambda i: F.element_at("cells", i + 1)).alias("cells")
+        prepared.rows, [key], num_samples, k, config.random_seed, prepared.total, partitions=parts, shape=slim
     )
+    named = drawn.select("sample_id", "cells").join(names, "sample_id")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         sample = int(pdf["sample_id"].iloc[0])
@@ -130,7 +135,7 @@ def search_samples(prepared: Prepared, key: str, plan: DataFrame, num_samples: i
             {"sample_id": "int32", "edge_ord": "int32"}
         )
 
-    return durable(slim.groupBy("sample_id").applyInPandas(search, EDGES))
+    return durable(named.groupBy("sample_id").applyInPandas(search, EDGES))
 
 
 def parent_correlation(df: DataFrame, columns: Sequence[str], rank_by: str) -> DataFrame | None:
