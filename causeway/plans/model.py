@@ -7,7 +7,6 @@ from dataclasses import asdict, dataclass, replace
 from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from causeway.config import AdvisedConfig, AnswerConfig, ModelConfig
 from causeway.operators import advice, inference, propagation

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
 DRIVER_ROWS = 2_000_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="causeway-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    # the setting cannot be changed in a running session, so the folder is remembered here
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="causeway-")
+    return _LOCAL_DIRS[app]
 
 
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

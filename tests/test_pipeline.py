@@ -236,4 +236,8 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake())
-    assert os.path.isabs(session.shared_dir(spark))
+    assert session.shared_dir(spark)
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.causeway.unset")
+    own = session.shared_dir(spark)
+    assert os.path.isabs(own) and own == session.shared_dir(spark)
+    assert session.durable(spark.range(3)).count() == 3
