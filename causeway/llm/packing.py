@@ -8,6 +8,7 @@ of decreasing length, each into the first bin with room, which the tree finds in
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +23,18 @@ from causeway.session import durable
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LAST_MARKS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#$%&*]+(?=[ \n])")
 GROUPED = 1 << 62  # sequence ids of packed groups start here
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, so that words can be encoded once each.
+    """Ids of texts by a tokenizer that drops white space and case, so that words are encoded once each.
 
-    Texts are split at ASCII white space only, which the tokenizer treats as a border as well.
+    Texts are split at ASCII white space and before punctuation that follows an ASCII letter or digit
+    and ends the word, both of which the tokenizer treats as borders. A-Z is lower-cased first. Texts
+    with the opening of a special token are only split at white space.
     """
 
     def __init__(self, path: str):
@@ -38,14 +43,24 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # words of the time before, until they are met again
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL counts as empty."""
-        split = [(t or "").encode().split() for t in texts]
-        wanted = set().union(*split)
-        if len(self.known) + len(wanted) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in wanted if w in self.known}
-        new = [w for w in wanted if w not in self.known]
+        split = []
+        for t in texts:
+            data = (t or "").encode()
+            split.append((data if b"<|" in data else LAST_MARKS.sub(rb" \g<0>", data.translate(LOWERED))).split())
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        wanted = set().union(*split).difference(self.known)
+        new = []
+        for w in wanted:
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
         for i in range(0, len(new), 20_000):
             some = new[i:i + 20_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
