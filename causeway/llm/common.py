@@ -49,20 +49,38 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().translate(WORD_BYTES).split()
 
 
-def row_key(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique struct column ``name`` that every later scan reads alike.
-
-    A scan of files takes the file and the position in it. Any other frame is written once with a
-    running number.
-    """
+def on_files(df: DataFrame) -> DataFrame:
+    """``df`` itself if its rows come straight from files, else a copy written once."""
     try:
-        return df.select(
-            F.struct(F.xxhash64("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("at")).alias(name),
-            *[F.col(f"`{c}`") for c in df.columns],
-        )
+        df.select(df.metadataColumn("_metadata").getField("row_index")).schema
+        return df
     except PySparkException:
-        number = F.monotonically_increasing_id()
-        return durable(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("part"), number.alias("at"))))
+        return durable(df)
+
+
+def row_key(df: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """Columns of a frame of files with a unique struct column ``name``: file and position in it.
+
+    Every scan reads the same keys, whatever its partitions. Frames that are no scans go through
+    ``on_files`` first.
+    """
+    place = df.metadataColumn("_metadata")
+    key = F.struct(F.xxhash64(place.getField("file_path")).alias("part"), place.getField("row_index").alias("at"))
+    return df.select(key.alias(name), *columns)
+
+
+def whole_rows(df: DataFrame) -> tuple[Column, list[Column]]:
+    """All columns as one struct ``_doc``, and the columns that unpack it: no name can clash meanwhile."""
+    names = df.columns
+    packed = F.struct(*[df[f"`{c}`"] for c in names]).alias("_doc")
+    return packed, [F.col("_doc").getField(c).alias(c) for c in names]
+
+
+def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """``df`` (a frame of files) without the rows whose keys ``gone`` lists in ``_row``; all columns unchanged."""
+    packed, unpacked = whole_rows(df)
+    gone = gone.select(F.col("_row").alias("_gone"))
+    return row_key(df, "_row", packed).join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*unpacked)
 
 
 def crc_mod(key: Column, n: int) -> Column:
@@ -146,3 +164,43 @@ def joined(values: list[str | None], sep: bytes = b"\n") -> tuple[np.ndarray, np
     ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
     data = np.frombuffer(sep.join(parts) + sep if parts else b"", np.uint8)
     return data, np.concatenate(([0], ends)).astype(np.int64)
+
+
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Join rows with one row per group, without bringing a hot group into one task.
+
+    Groups above ``total / HOT_SHARE`` rows are fewer than HOT_SHARE, so these few are broadcast; all
+    others are joined by a shuffle. ``size`` is the column of ``groups`` with the rows of each group.
+    """
+    hot = F.col(size) > F.lit(total // HOT_SHARE)
+    few = F.broadcast(groups.filter(hot))
+    rare = rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key)
+    return rows.join(few, key).unionByName(rare)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (u, v of BIGINT): one row (node, root) per node, root the smallest.
+
+    Rounds of large and small stars; each round is written once, so lineage stays short and lost
+    executors only repeat one round.
+    """
+    edges = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        linked = large.join(least, "u")
+        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            linked.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = durable(small)
+        # done when every node has one smaller neighbour, and that one is a root
+        open_ = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        inner = small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        if not open_ and not inner:
+            roots = small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        edges = small

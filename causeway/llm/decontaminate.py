@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import query, read, slices, words_of
+from causeway.llm.common import query, read, slices, whole_rows, words_of
 from causeway.llm.fm_index import FMIndex
 from causeway.session import durable
 
@@ -196,9 +196,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; all columns unchanged."""
-    packed = docs.select(F.col(text).cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    clean = contamination_spans(packed, items, "_text", **options).filter(F.size("_starts") == 0)
-    return clean.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    packed, unpacked = whole_rows(docs)
+    slim = docs.select(F.col(text).cast("string").alias("_text"), packed)
+    return contamination_spans(slim, items, "_text", **options).filter(F.size("_starts") == 0).select(*unpacked)
 
 
 SQL = r"""

@@ -19,21 +19,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import mix, query, read, row_key
+from causeway.llm.common import join_groups, mix, on_files, query, read, row_key, without_rows
 from causeway.session import durable
 
 PROBES = 4
 BLOCK_BITS = 1 << 19
 MERGE_SALTS = 64
-HOT_SHARE = 1000  # a group above 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE of them
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Row key, id, code points and SHA-256 of each text without ASCII white space; NULL counts as empty."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     bare = F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")
-    return row_key(docs, "_row").select(
-        "_row", F.col(doc_id).alias("doc_id"), F.char_length(whole).cast("long").alias("chars"),
+    return row_key(
+        on_files(docs), "_row", F.col(doc_id).alias("doc_id"), F.char_length(whole).cast("long").alias("chars"),
         F.sha2(bare.cast("binary"), 256).alias("text_sha256"),
     )
 
@@ -125,26 +124,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     maybe = durable(marked.filter("_maybe").select("_row", "doc_id", "chars", "text_sha256"))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
     groups = durable(maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best.alias("_best")))
-    hot = F.col("group_size") > F.lit(total // HOT_SHARE)
-    few = F.broadcast(groups.filter(hot))  # fewer than HOT_SHARE rows
-    rare = maybe.join(few.select("text_sha256"), "text_sha256", "left_anti").join(groups.filter(~hot), "text_sha256")
-    often = maybe.join(few, "text_sha256")
-    found = [
-        part.select(
-            "_row", "doc_id", F.col("_best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
-            (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256",
-        )
-        for part in (often, rare)
-    ]
-    return alone.unionByName(found[0]).unionByName(found[1])
+    found = join_groups(maybe, groups, "text_sha256", "group_size", total).select(
+        "_row", "doc_id", F.col("_best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
+        (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256",
+    )
+    return alone.unionByName(found)
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    keyed = row_key(docs, "_row")
-    gone = exact_groups(docs, doc_id, text).filter("not kept").select(F.col("_row").alias("_gone"))
-    kept = keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = on_files(docs)
+    return without_rows(docs, exact_groups(docs, doc_id, text).filter("not kept"))
 
 
 SQL = r"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import crc_mod, mix, query, read, slices
+from causeway.llm.common import crc_mod, mix, query, read, slices, whole_rows
 
 CLASSES = 64  # characters are hashed to so many classes; 0 ends a word, 1 starts one
 DECAY = 0.7
@@ -401,12 +401,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with a score below ``threshold``; all columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(
-        F.col(text).cast("string").alias("_text"), F.lit(0.0).alias("_score"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-    )
-    kept = packed.mapInArrow(_score(shared, "_text", "_score", threshold), packed.schema)
-    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    packed, unpacked = whole_rows(docs)
+    slim = docs.select(F.col(text).cast("string").alias("_text"), F.lit(0.0).alias("_score"), packed)
+    return slim.mapInArrow(_score(shared, "_text", "_score", threshold), slim.schema).select(*unpacked)
 
 
 @query("op6_toxicity")

@@ -7,15 +7,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import exact_dedup, packing
+from causeway.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
 from causeway.session import shared_dir
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxicity score is 0.5 or more; the model learns from the labelled ones."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of texts similar by 0.8 or more on five-word n-grams."""
+    return ngram_join.drop_similar(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, in sequences of 2048 tokens."""
     import public_tokenizers
@@ -24,11 +40,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", remove_toxic),
     ("exact_dedup", deduplicate),
+    ("ngram_join", join_similar),
+    ("decontamination", remove_benchmark),
     ("packing", pack),
 ]
 
-# classifier, similarity join and tokenizer are beyond SQL; tests compare with brute force instead
+# a classifier, a similarity join and a tokenizer are beyond SQL; tests compare with brute force instead
 ORACLE_SQL = None
 
 
