@@ -9,6 +9,7 @@ from causeway.llm import (  # noqa: F401  (imported to register their queries)
     licenses,
     ngram_join,
     packing,
+    pii,
     toxicity,
 )
 
