@@ -7,6 +7,7 @@ from causeway.llm import (  # noqa: F401  (imported to register their queries)
     decontaminate,
     exact_dedup,
     licenses,
+    lm_score,
     ngram_join,
     packing,
     pii,

@@ -9,6 +9,7 @@ an empty result of the same schema.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,7 @@ BYTE_CODES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64)
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
@@ -149,7 +151,8 @@ def token_hashes(data: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.n
             last = max(first + 1, int(np.searchsorted(end, origin + block, side="right")))
             size = int(end[last - 1] - origin)
             if size > len(up):
-                up, down = _powers(_BASE, size), _powers(_INVERSE, size)
+                size_up = 1 << size.bit_length()
+                up, down = _powers(_BASE, size_up), _powers(_INVERSE, size_up)
             sums = np.zeros(size + 1, np.uint64)
             np.cumsum(BYTE_CODES[data[origin:origin + size]] * up[:size], out=sums[1:])
             a, b = start[first:last] - origin, end[first:last] - origin

@@ -8,7 +8,6 @@ of decreasing length, each into the first bin with room, which the tree finds in
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +24,17 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 CACHE_WORDS = 250_000
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-LAST_MARKS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#$%&*]+(?=[ \n])")
+MARKS = b".,;:!?#$%&*"
+ASCII_WORD = frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
 GROUPED = 1 << 62  # sequence ids of packed groups start here
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and case, so that words are encoded once each.
 
-    Texts are split at ASCII white space and before punctuation that follows an ASCII letter or digit
-    and ends the word, both of which the tokenizer treats as borders. A-Z is lower-cased first. Texts
-    with the opening of a special token are only split at white space.
+    Texts are split at ASCII white space, which the tokenizer treats as a border as well. A-Z is
+    lower-cased first, and a new word's closing punctuation after an ASCII letter or digit, another
+    border, is encoded apart. Texts with the opening of a special token are only split.
     """
 
     def __init__(self, path: str):
@@ -45,28 +45,42 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # words of the time before, until they are met again
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of all ``words``: from the older ones, or encoded."""
+        fresh = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.known[w] = ids
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i:i + 20_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for w, e in zip(some, coded):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL counts as empty."""
         split = []
         for t in texts:
             data = (t or "").encode()
-            split.append((data if b"<|" in data else LAST_MARKS.sub(rb" \g<0>", data.translate(LOWERED))).split())
+            split.append((data if b"<|" in data else data.translate(LOWERED)).split())
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-        wanted = set().union(*split).difference(self.known)
-        new = []
-        for w in wanted:
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
+        known, older = self.known, self.older
+        whole, ended = set(), []
+        for w in set().union(*split).difference(known):
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core[-1:] in ASCII_WORD and w not in older and b"<|" not in w:
+                ended.append((w, core))
+                whole |= {core, w[len(core):]}
             else:
-                self.known[w] = ids
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+                whole.add(w)
+        self._learn(whole.difference(known))
+        for w, core in ended:
+            known[w] = known[core] + known[w[len(core):]]
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
