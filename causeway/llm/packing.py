@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from causeway.session import durable
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MARKS = b".,;:!?#$%&*"
 ASCII_WORD = frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -84,6 +85,12 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per worker process, so that later tasks know the words of earlier ones."""
+    return WordTokenizer(path)
+
+
 def tournament(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """First fit decreasing: bin and offset of each piece.
 
@@ -115,7 +122,7 @@ def tournament(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _cut(path: str, doc_id: str, text: str, size: int, end_id: int, groups: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = full = 0
