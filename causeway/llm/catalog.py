@@ -6,6 +6,7 @@ from causeway.llm.common import ORACLES, QUERIES
 from causeway.llm import (  # noqa: F401  (imported to register their queries)
     decontaminate,
     exact_dedup,
+    language_id,
     licenses,
     lm_score,
     ngram_join,
