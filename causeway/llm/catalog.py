@@ -12,6 +12,7 @@ from causeway.llm import (  # noqa: F401  (imported to register their queries)
     ngram_join,
     packing,
     pii,
+    substring_dedup,
     toxicity,
 )
 
