@@ -200,7 +200,7 @@ class ToxicityModel:
 class Landmarks:
     """Words that span the Nyström features; only subsequences that some landmark has are stored."""
 
-    def __init__(self, words: list[tuple[int, ...]]):
+    def __init__(self, words: list[bytes]):
         kinds = _stream(words)
         begin, length = _extents(kinds)
         norm = _norm(length)
@@ -213,7 +213,7 @@ class Landmarks:
         self.row_of = np.zeros(FEATURES, np.int32)
         self.row_of[self.features] = np.arange(1, len(self.features) + 1)
 
-    def kernel(self, words: list[tuple[int, ...]], at_once: int = 2000) -> np.ndarray:
+    def kernel(self, words: list[bytes], at_once: int = 2000) -> np.ndarray:
         """Kernel between words and landmarks."""
         out = np.zeros((len(words), self.table.shape[1]), np.float32)
         for first in range(0, len(words), at_once):
@@ -237,32 +237,47 @@ class Landmarks:
         return weights
 
 
-def _stream(words: list[tuple[int, ...]]) -> np.ndarray:
-    return np.array([k for w in words for k in (*w, 0)], np.int64)
+def _stream(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(w + b"\0" for w in words), np.uint8).astype(np.int64)
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, l2: float, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps; ``c`` weights the examples."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], l2)
+def squared_hinge(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, l2: float, rounds: int = 15,
+                  block: int = 4000) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps.
+
+    Every row is an example of either label, with the weights ``positive`` and ``negative``. Rows are
+    taken in blocks, so memory stays near that of ``x``.
+    """
+    w, bias_at = np.zeros(x.shape[1] + 1), x.shape[1]
+    reg = np.full(len(w), l2)
     reg[-1] = 1e-6
 
-    def loss(v):
-        return 0.5 * (reg * v * v).sum() + 0.5 * (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    def margins(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1].astype(x.dtype) + v[-1]
+
+    def loss(v: np.ndarray, f: np.ndarray) -> float:
+        slack = positive * np.maximum(0, 1 - f) ** 2 + negative * np.maximum(0, 1 + f) ** 2
+        return 0.5 * float((reg * v * v).sum() + slack.sum())
 
+    f = margins(w)
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        grad = reg * w - x[on].T @ (c[on] * y[on] * slack[on])
-        step = np.linalg.solve(np.diag(reg) + (x[on].T * c[on]) @ x[on], grad)
-        size = 1.0
-        while size > 1e-4 and loss(w - size * step) > loss(w):
+        up, down = np.maximum(0, 1 - f), np.maximum(0, 1 + f)
+        pull = positive * up - negative * down
+        curve = positive * (up > 0) + negative * (down > 0)
+        grad, hess = reg * w, np.diag(reg)
+        for i in range(0, len(x), block):
+            part = np.hstack([x[i:i + block], np.ones((len(x[i:i + block]), 1))])
+            grad -= part.T @ pull[i:i + block]
+            hess += (part.T * curve[i:i + block]) @ part
+        step = np.linalg.solve(hess, grad)
+        size, now = 1.0, loss(w, f)
+        while size > 1e-4 and loss(w - size * step, margins(w - size * step)) > now:
             size /= 2
         w = w - size * step
+        f = margins(w)
         if np.abs(size * step).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return w[:bias_at], float(w[bias_at])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray, l2: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -280,19 +295,17 @@ def logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray, l2: float = 0.1, round
     return w
 
 
-def _word_table(texts: list[str], toxic: np.ndarray) -> dict[tuple[int, ...], list[int]]:
-    """Distinct words of labelled sentences, with the number of clean and of toxic documents that have them."""
-    table: dict[tuple[int, ...], list[int]] = {}
+def _word_table(texts: list[str], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words (one byte per character) of labelled sentences, and in how many clean and toxic documents each is."""
+    table: dict[bytes, int] = {}
     for text, label in zip(texts, toxic):
-        own: set[tuple[int, ...]] = set()
         kinds, _ = classes_of([s for s in SENTENCE.split(text) if s.strip()] or [""])
-        begin = np.flatnonzero(kinds == 1)
-        stop = np.flatnonzero((kinds > 0) & np.concatenate((kinds[1:] == 0, [True]))) + 1 if len(begin) else begin
-        values = kinds.tolist()
-        own.update(tuple(values[a:b]) for a, b in zip(begin.tolist(), stop.tolist()))
-        for w in own:
-            table.setdefault(w, [0, 0])[int(label)] += 1
-    return table
+        begin, length = _extents(kinds)
+        packed, one = kinds.astype(np.uint8).tobytes(), 1 << 32 if label else 1
+        for w in {packed[a:b] for a, b in zip(begin.tolist(), (begin + length - 1).tolist())}:
+            table[w] = table.get(w, 0) + one
+    counts = np.fromiter(table.values(), np.int64, len(table))
+    return list(table), np.stack((counts & 0xFFFFFFFF, counts >> 32), axis=1).astype(np.float64)
 
 
 def fit(texts: list[str], toxic: list[int], share: float | None = None, n_landmarks: int = 224, l2: float = 1.0,
@@ -323,9 +336,7 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, n_landma
 
 
 def _svm(texts: list[str], y: np.ndarray, n_landmarks: int, l2: float, rng) -> tuple[np.ndarray, float]:
-    table = _word_table(texts, y)
-    words = list(table)
-    df = np.array([table[w] for w in words], np.float64)  # clean, toxic
+    words, df = _word_table(texts, y)  # columns: clean, toxic
     total = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
     rate = df / total
     lift = df[:, 1] * np.log((rate[:, 1] + 0.5 / total[1]) / (rate[:, 0] + 0.5 / total[0]))
@@ -344,11 +355,7 @@ def _svm(texts: list[str], y: np.ndarray, n_landmarks: int, l2: float, rng) -> t
     order = np.argsort(-lift)
     used = np.unique(np.concatenate((order[:MAX_WORDS], clean, rng.permutation(len(words))[:MAX_WORDS])))
     x = marks.kernel([words[i] for i in used]) @ half.astype(np.float32)
-    cost = np.r_[df[used, 1] * total[0] / total[1], df[used, 0]] / len(texts)
-    on = cost > 0
-    examples = np.concatenate((np.arange(len(used)), np.arange(len(used))))[on]
-    labels = np.r_[np.ones(len(used)), -np.ones(len(used))][on]
-    w, bias = squared_hinge(x[examples], labels, cost[on], l2 / 100)
+    w, bias = squared_hinge(x, df[used, 1] * total[0] / total[1] / len(texts), df[used, 0] / len(texts), l2 / 100)
     return marks.collapse(half @ w), bias
 
 

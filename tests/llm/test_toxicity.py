@@ -11,7 +11,7 @@ from causeway.llm import toxicity
 
 def test_kernel_by_definition():
     rng = np.random.default_rng(0)
-    words = [tuple([1, *rng.integers(2, 6, rng.integers(1, 7)).tolist()]) for _ in range(12)]
+    words = [bytes([1, *rng.integers(2, 6, rng.integers(1, 7)).tolist()]) for _ in range(12)]
 
     def features(w):
         c, out = [*w, 0], {}
