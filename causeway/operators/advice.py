@@ -150,26 +150,14 @@ def render_ordering(candidates: DataFrame, blocks: DataFrame, with_counts: bool
     )
 
 
-def path_edges(paths: Column) -> Column:
-    """Distinct edges of the paths, in order of first appearance."""
-    hops = F.transform(paths, lambda p: F.transform(
-        F.sequence(F.lit(1), F.size(p) - 1),
-        lambda i: F.struct(F.element_at(p, i).alias("parent"), F.element_at(p, i + 1).alias("child")),
-    ))
-    return F.array_distinct(F.flatten(hops))
-
-
 def render_cycle(conflicts: DataFrame) -> DataFrame:
-    """(run_id, parent, child, edges, user): paths that block a new edge and numbered edges."""
-    numbered = conflicts.withColumn("edges", path_edges(F.col("paths")))
-    shown = F.array_join(F.transform("paths", lambda p: F.array_join(p, " -> ")), NL)
+    """(run_id, parent, child, edges, user): a new edge and the numbered edges that block it."""
     options = F.array_join(F.transform(
         "edges", lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["parent"], F.lit(" -> "), e["child"])
     ), NL)
-    return numbered.select(
+    return conflicts.select(
         "run_id", "parent", "child", "edges",
-        text("New edge: ", F.col("parent"), " -> ", F.col("child"), "\nPaths back:\n", shown,
-             "\nEdges:\n", options).alias("user"),
+        text("New edge: ", F.col("parent"), " -> ", F.col("child"), "\nEdges on the way back:\n", options).alias("user"),
     )
 
 

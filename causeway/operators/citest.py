@@ -107,7 +107,7 @@ def level_tests(adj: dict[str, set[str]], depth: int) -> list[Test]:
 
 
 def skeleton(encoded: Encoded, alpha: float, borderline: float = 0.0,
-             advisor=None, max_depth: int | None = None, union_sets: bool = True) -> Skeleton:
+             advisor=None, union_sets: bool = True) -> Skeleton:
     """Start complete; at each depth run every test, remove separated pairs at its end.
 
     All tests of a depth are one counting job (in batches). ``advisor`` maps a frame of
@@ -119,7 +119,7 @@ def skeleton(encoded: Encoded, alpha: float, borderline: float = 0.0,
     adj = {n: set(names) - {n} for n in names}
     sepsets: dict[tuple[str, str], tuple[str, ...]] = {}
     depth = 0
-    while max(map(len, adj.values()), default=0) > depth and (max_depth is None or depth <= max_depth):
+    while max(map(len, adj.values()), default=0) > depth:
         tests = level_tests(adj, depth)
         gone: dict[tuple[str, str], list[tuple[float, tuple[str, ...]]]] = {}
         for start in range(0, len(tests), BATCH):

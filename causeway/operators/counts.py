@@ -6,7 +6,7 @@ from typing import Iterable, Iterator, NamedTuple, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators.encode import Encoded, encode_table
@@ -15,7 +15,6 @@ from causeway.session import collect_bounded, durable, local_frame
 DENSE_CELLS = 1 << 16
 FLUSH_CELLS = 2_000_000
 MAX_CELLS = 1 << 62
-AGG_COLUMNS = 32
 
 
 class Family(NamedTuple):
@@ -161,75 +160,54 @@ def cpt_rows(cpt: DataFrame) -> DataFrame:
     )
 
 
-def families_of(nodes: Sequence[str], edges: Iterable[tuple[str, str]]) -> list[Family]:
-    """One family per node, parents sorted by name."""
-    parents: dict[str, list[str]] = {n: [] for n in nodes}
-    for p, c in edges:
-        parents[c].append(p)
-    return [Family(i, n, tuple(sorted(parents[n]))) for i, n in enumerate(nodes)]
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, rows, n, cov, va, vb) for a <= b in column order, over the ``n`` rows that have both values.
 
-
-def fit_network_cpts(df: DataFrame, nodes: Sequence[str],
-                     edges: Iterable[tuple[str, str]]) -> tuple[Encoded, DataFrame]:
-    """Encode the nodes' columns and fit one CPT per node in a single counting job."""
-    encoded = encode_table(df, list(nodes))
-    return encoded, durable(fit_cpts(encoded, families_of(nodes, edges)))
-
-
-def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-
-def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, cov, n) for a <= b in column order, sample covariance."""
+    Tasks emit one row of sums per pair, taken about the column means; Spark adds them up. NULL and NaN
+    count as missing, and pairs with fewer than two rows have NULL moments.
+    """
     columns = list(columns)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(columns) > AGG_COLUMNS:
-        return _wide_covariance(data, columns)
-    aggs = [F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(_pairs(columns))]
-    row = data.agg(F.count("*").alias("n"), *aggs)
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("cov"))
-        for i, (a, b) in enumerate(_pairs(columns))
-    ])
-    return row.select("n", F.explode(entries).alias("e")).select("e.a", "e.b", "e.cov", "n")
-
-
-def _wide_covariance(data: DataFrame, columns: list[str]) -> DataFrame:
-    """Second pass about the means: partial scatter matrices per task, summed by Spark."""
-    means_row = data.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    n = means_row["n"]
-    means = np.array([means_row[c] for c in columns])
+    means = data.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in columns]).first()
+    means = np.array([means[c] or 0.0 for c in columns])
     a, b = np.triu_indices(len(columns))
+    sums_of = ("n", "sx", "sy", "sxy", "sxx", "syy")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scatter = np.zeros((len(columns), len(columns)))
+        sums = np.zeros((len(sums_of), len(columns), len(columns)))
+        rows = 0
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float) - means
-            scatter += x.T @ x
-        yield pd.DataFrame({"i": a, "j": b, "s": scatter[a, b]})
+            have = ~np.isnan(x)
+            x, m = np.where(have, x, 0.0), have.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, x.T @ x, (x * x).T @ m, m.T @ (x * x)])
+            rows += len(pdf)
+        yield pd.DataFrame({"i": a, "j": b, "rows": rows, **dict(zip(sums_of, sums[:, a, b]))})
 
     names = F.array(*[F.lit(c) for c in columns])
-    return (
-        data.mapInPandas(partial, "i int, j int, s double")
-        .groupBy("i", "j").agg(F.sum("s").alias("s"))
-        .select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"),
-                (F.col("s") / (n - 1)).alias("cov"), F.lit(n).cast("bigint").alias("n"))
+    totals = data.mapInPandas(
+        partial, "i int, j int, rows bigint, " + ", ".join(f"{c} double" for c in sums_of)
+    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("rows", *sums_of)])
+
+    def moment(xy: str, x: str, y: str) -> Column:
+        return F.when(F.col("n") > 1, (F.col(xy) - F.col(x) * F.col(y) / F.col("n")) / (F.col("n") - 1))
+
+    return totals.select(
+        names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "rows", "n", moment("sxy", "sx", "sy").alias("cov"),
+        moment("sxx", "sx", "sx").alias("va"), moment("syy", "sy", "sy").alias("vb"),
     )
 
 
+def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, cov, n) for a <= b in column order: sample covariance of pairs of values, number of all rows."""
+    return pair_moments(df, columns).select("a", "b", "cov", F.col("rows").alias("n"))
+
+
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, corr) over all ordered pairs; NULL where a column does not vary."""
-    cov = covariance(df, columns)
-    var = cov.where(F.col("a") == F.col("b")).select(F.col("a").alias("v"), F.col("cov").alias("s2"))
-    half = (
-        cov.join(var.withColumnsRenamed({"v": "a", "s2": "va"}), "a")
-        .join(var.withColumnsRenamed({"v": "b", "s2": "vb"}), "b")
-    )
-    scale = F.sqrt(F.col("va") * F.col("vb"))
-    half = half.select(
-        "a", "b", F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("cov") / scale).alias("corr")
-    )
+    varies = (F.col("va") > 0) & (F.col("vb") > 0)
+    half = pair_moments(df, columns).select(
+        "a", "b", F.when(varies, F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("corr"))
     mirror = half.where(F.col("a") != F.col("b")).select(
         F.col("b").alias("a"), F.col("a").alias("b"), "corr"
     )

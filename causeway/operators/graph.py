@@ -72,46 +72,35 @@ def induced_edges(blankets: DataFrame, dag: DataFrame) -> DataFrame:
     ).select("center", "parent", "child")
 
 
-def simple_paths(pairs: DataFrame, dag: DataFrame, max_paths: int, max_length: int) -> DataFrame:
-    """(start, end, path, path_ord): simple directed paths of (start, end), shortest first.
+def simple_paths(pairs: DataFrame, dag: DataFrame) -> DataFrame:
+    """(start, end, path, path_ord): all simple directed paths of (start, end), shortest first.
 
-    One more than ``max_paths`` per pair, so that the caller can see an overflow.
+    The number of paths can grow exponentially with the edges; decisions that only need to know
+    which edges lie on a path use reachability instead.
     """
     steps = durable(dag.select("parent", "child"))
-    frontier = pairs.select("start", "end", F.array("start").alias("path"))
-    frontier = durable(frontier)
+    frontier = durable(pairs.select("start", "end", F.array("start").alias("path")))
     found = frontier.where(F.col("start") == F.col("end"))
     frontier = frontier.where(F.col("start") != F.col("end"))
     order = Window.partitionBy("start", "end").orderBy(F.size("path"), F.array_join("path", "\u0001"))
-    full = None
-    for _ in range(max_length):
-        grown = frontier.join(steps, F.element_at("path", -1) == F.col("parent")).where(
+    while not frontier.isEmpty():
+        grown = durable(frontier.join(steps, F.element_at("path", -1) == F.col("parent")).where(
             ~F.array_contains("path", F.col("child"))
-        ).select("start", "end", F.concat("path", F.array("child")).alias("path"))
-        grown = durable(grown)
+        ).select("start", "end", F.concat("path", F.array("child")).alias("path")))
         done = F.element_at("path", -1) == F.col("end")
         found = found.unionByName(grown.where(done))
         frontier = grown.where(~done)
-        full = found.groupBy("start", "end").count().where(F.col("count") > max_paths)
-        frontier = frontier.join(full.select("start", "end"), ["start", "end"], "left_anti")
-        if frontier.isEmpty():
-            break
-    return found.withColumn("path_ord", F.row_number().over(order)).where(
-        F.col("path_ord") <= max_paths + 1
-    )
-
+    return found.withColumn("path_ord", F.row_number().over(order))
 
-def simple_cycles(edges: DataFrame, max_cycles: int, max_length: int) -> DataFrame:
-    """(cycle): simple directed cycles of length >= 2, starting at their smallest node.
 
-    Shortest first, at most ``max_cycles``.
-    """
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): all simple directed cycles of length >= 2, starting at their smallest node."""
     steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
     frontier = durable(
         steps.where(F.col("parent") < F.col("child")).select(F.array("parent", "child").alias("path"))
     )
     found = frontier.limit(0).select(F.col("path").alias("cycle"))
-    for _ in range(max_length - 1):
+    while not frontier.isEmpty():
         grown = durable(
             frontier.join(steps, F.element_at("path", -1) == F.col("parent"))
             .where(F.col("child") >= F.col("path")[0])
@@ -122,9 +111,36 @@ def simple_cycles(edges: DataFrame, max_cycles: int, max_length: int) -> DataFra
         frontier = grown.where(~F.array_contains("path", F.col("child"))).select(
             F.concat("path", F.array("child")).alias("path")
         )
-        if frontier.isEmpty() or found.count() >= max_cycles:
-            break
-    return found.orderBy(F.size("cycle"), F.array_join("cycle", "\u0001")).limit(max_cycles)
+    return found
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): for each edge on a cycle its shortest one, starting at the smallest node, without repeats.
+
+    A breadth-first walk from every edge keeps one path per node reached, so the work is bounded by
+    edges times nodes, and every edge on any cycle is covered.
+    """
+    steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
+    frontier = durable(steps.select(
+        F.col("parent").alias("root"), F.col("child").alias("node"), F.array("parent", "child").alias("path"),
+        F.concat_ws("\u0001", "parent", "child").alias("edge"),
+    ))
+    seen = frontier.select("edge", "node")
+    closed = frontier.limit(0).select("edge", F.col("path").alias("cycle"))
+    while not frontier.isEmpty():
+        grown = durable(frontier.join(steps, F.col("node") == F.col("parent")).select("root", "edge", "child", "path"))
+        back = grown.where(F.col("child") == F.col("root")).groupBy("edge").agg(F.min("path").alias("cycle"))
+        closed = durable(closed.unionByName(back))
+        ahead = grown.where(F.col("child") != F.col("root")).groupBy("root", "edge", F.col("child").alias("node")).agg(
+            F.min("path").alias("path"))
+        frontier = durable(
+            ahead.join(closed, "edge", "left_anti").join(seen, ["edge", "node"], "left_anti")
+            .select("root", "node", F.concat("path", F.array("node")).alias("path"), "edge")
+        )
+        seen = durable(seen.unionByName(frontier.select("edge", "node")))
+    first = F.array_position("cycle", F.array_min("cycle")).cast("int")
+    turned = F.concat(F.slice("cycle", first, F.size("cycle")), F.slice("cycle", F.lit(1), first - 1))
+    return closed.select(turned.alias("cycle")).distinct()
 
 
 def v_structures(dag: DataFrame) -> DataFrame:

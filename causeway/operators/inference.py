@@ -160,8 +160,11 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
             _eliminate(mine, used[target], target, network.scope(target), network.states)
             .withColumn("target", F.lit(target))
         )
-    if not parts:
-        raise ValueError("no query names a node of the network")
+    lost = queries.where(~F.col("target").isin(list(network.nodes)) | F.col("target").isNull()).select(
+        id_col, "target", F.lit(None).cast("map<string,double>").alias("dist")
+    )
+    if not parts:  # no query, or none that names a node of the network
+        return lost
     weights = reduce(DataFrame.unionByName, parts)
     total = weights.groupBy("target", "ev_key").agg(
         F.map_from_entries(F.collect_list(F.struct("state", "w"))).alias("w"),
@@ -173,9 +176,6 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
     dist = F.when(F.col("total") > 0, F.map_from_arrays(every, share))
     answers = total.select("target", "ev_key", dist.alias("dist"))
     found = keyed.join(answers, ["target", "ev_key"], "left").select(id_col, "target", "dist")
-    lost = queries.where(~F.col("target").isin(list(network.nodes)) | F.col("target").isNull()).select(
-        id_col, "target", F.lit(None).cast("map<string,double>").alias("dist")
-    )
     return found.unionByName(lost)
 
 

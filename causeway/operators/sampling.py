@@ -205,10 +205,3 @@ def split_exact(df: DataFrame, key: Sequence[str], fraction: float, seed: int,
         raise ValueError("fraction must lie strictly between 0 and 1")
     m = math.floor(df.count() * fraction)
     return df.withColumn("is_train", hash_cut(df, key, seed, m, portable))
-
-
-def cap_rows(df: DataFrame, key: Sequence[str], max_rows: int, seed: int) -> DataFrame:
-    """At most ``max_rows`` rows, drawn by hash; smaller tables pass unchanged."""
-    if df.count() <= max_rows:
-        return df
-    return df.where(hash_cut(df, key, seed, max_rows))

@@ -405,7 +405,7 @@ def cycle_edits(spark, sf):
     """Each cycle of the unconstrained nation graph loses or turns its closing edge."""
     dag = durable(trade.graph(spark, sf, acyclic=False))
     edges = dag.select(F.lit(0).alias("run_id"), F.concat("child", "parent").alias("edge_ord"), "parent", "child")
-    cycles = graph.simple_cycles(dag, 200, 25)
+    cycles = graph.simple_cycles(dag)
     action = F.when(F.size("cycle") % 2 == 0, "Remove").otherwise("Reverse")
     todo = cycles.select(F.lit(0).alias("run_id"), F.array_join("cycle", ">").alias("ord"), action.alias("action"),
                          F.element_at("cycle", -1).alias("parent"), F.col("cycle")[0].alias("child"))

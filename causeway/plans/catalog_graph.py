@@ -43,32 +43,32 @@ def reachability(spark, sf):
 
 PATHS = """walk AS (SELECT n_name AS s, [n_name] AS path, n_regionkey AS r FROM nation
   UNION ALL SELECT s, list_append(path, d.child), r FROM walk JOIN dag d ON path[-1] = d.parent
-  WHERE NOT list_contains(path, d.child) AND len(path) <= 6)"""
+  WHERE NOT list_contains(path, d.child))"""
 
 
 @query("simple_paths", f"""{DAG}, {PATHS}, hits AS (SELECT s AS "start", path[-1] AS "end",
   array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY s, path[-1]
   ORDER BY len(path), array_to_string(path, chr(1))) AS path_ord
-  FROM walk JOIN nation n ON n.n_name = path[-1] WHERE n.n_regionkey = r AND s <> path[-1])
-SELECT "start", "end", path, CAST(path_ord AS INTEGER) AS path_ord FROM hits WHERE path_ord <= 11""")
+  FROM walk JOIN nation n ON n.n_name = path[-1] WHERE s <> path[-1])
+SELECT "start", "end", path, CAST(path_ord AS INTEGER) AS path_ord FROM hits""")
 def simple_paths(spark, sf):
-    """Up to eleven paths of at most six steps between nations of a region."""
+    """All paths between all nations, along the two most voted edges into each."""
     nation = w.table(spark, sf, "nation")
-    pairs = nation.select("n_regionkey", F.col("n_name").alias("start")).join(
-        nation.select("n_regionkey", F.col("n_name").alias("end")), "n_regionkey"
-    ).where(F.col("start") != F.col("end")).drop("n_regionkey")
-    out = graph.simple_paths(pairs, trade.graph(spark, sf), 10, 6)
+    names = nation.agg(F.collect_set("n_name").alias("names"))
+    pairs = nation.select(F.col("n_name").alias("start")).join(names).select("start", F.explode("names").alias("end"))
+    pairs = pairs.where(F.col("start") != F.col("end"))
+    out = graph.simple_paths(pairs, trade.graph(spark, sf))
     return out.select("start", "end", F.array_join("path", ">").alias("path"), "path_ord")
 
 
 @query("simple_cycles", f"""{CYCLIC}, walk AS (SELECT [parent, child] AS path FROM dag WHERE parent < child
   UNION ALL SELECT list_append(path, d.child) FROM walk JOIN dag d ON path[-1] = d.parent
-  WHERE d.child > path[1] AND NOT list_contains(path, d.child) AND len(path) < 6),
+  WHERE d.child > path[1] AND NOT list_contains(path, d.child)),
 closed AS (SELECT path FROM walk JOIN dag d ON path[-1] = d.parent AND d.child = path[1])
 SELECT array_to_string(path, '>') AS cycle FROM closed""")
 def simple_cycles(spark, sf):
-    """Directed cycles of up to six nodes."""
-    out = graph.simple_cycles(trade.graph(spark, sf, acyclic=False), 1_000_000, 6)
+    """All directed cycles."""
+    out = graph.simple_cycles(trade.graph(spark, sf, acyclic=False))
     return out.select(F.array_join("cycle", ">").alias("cycle"))
 
 
@@ -88,13 +88,6 @@ def blanket_edges(spark, sf):
     return graph.induced_edges(graph.markov_blankets(dag, trade.node_frame(spark, sf)), dag)
 
 
-@query("capped_blankets")
-def capped_blankets(spark, sf):
-    """Neighbourhoods cut at six nations."""
-    out = assemble.breadth_first_blanket(trade.graph(spark, sf), trade.node_frame(spark, sf), 6)
-    return out.select("seed", F.array_join("nodes", ",").alias("nodes"))
-
-
 @query("isolated_and_orphans", f"""{DAG} SELECT 'isolated' AS kind, n_name AS node FROM nation
   WHERE n_name NOT IN (SELECT parent FROM dag UNION SELECT child FROM dag)
 UNION ALL SELECT 'orphan', n_name FROM nation WHERE n_name NOT IN (SELECT child FROM dag)""")
@@ -205,26 +198,26 @@ def _ranked_runs(spark, sf):
 
 @query("arbitrated_assembly")
 def arbitrated_assembly(spark, sf):
-    """As above, but conflicts give up their first blocking edge."""
+    """As above, but conflicts give up the first edge of every blocking path."""
     ranked = _ranked_runs(spark, sf)
     advice = spark.createDataFrame(
         [], "run_id int, new_parent string, new_child string, drops array<struct<parent: string, child: string>>"
     )
 
-    def first_edge(parent, child, paths):
-        return [(p[0], p[1]) for p in paths]
+    def first_edge(parent, child, blocking):
+        return [e for e in blocking if e[0] == child]
 
     return assemble.assemble_advised(ranked, advice, 3, responder=first_edge)
 
 
 @query("assembly_conflicts")
 def assembly_conflicts(spark, sf):
-    """Edges that would close a cycle, with the paths that block them."""
+    """Edges that would close a cycle, with the number of edges that block them."""
     advice = spark.createDataFrame(
         [], "run_id int, new_parent string, new_child string, drops array<struct<parent: string, child: string>>"
     )
     out = assemble.assemble_advised(_ranked_runs(spark, sf), advice, 3, conflicts=True)
-    return out.select("run_id", "conflict_ord", "parent", "child", F.size("paths").alias("paths"))
+    return out.select("run_id", "conflict_ord", "parent", "child", F.size("edges").alias("edges"))
 
 
 @query("acyclic_filter")

@@ -129,6 +129,16 @@ def unanswerable(spark, sf):
     return answers.select("query_id", "target", F.col("dist").isNull().alias("no_answer"))
 
 
+@query("unanswerable_only", "SELECT CAST(c_custkey AS VARCHAR) AS query_id, c_name AS target, TRUE AS no_answer FROM customer")
+def unanswerable_only(spark, sf):
+    """One question per customer, none about a node of the network."""
+    asked = w.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("query_id"), F.col("c_name").alias("target"),
+        F.create_map(F.lit("late"), F.lit("y")).alias("context"))
+    answers = inference.posterior(asked, _network(spark, sf))
+    return answers.select("query_id", "target", F.col("dist").isNull().alias("no_answer"))
+
+
 @query("predict_table", f"""{JOINT}, j AS (SELECT s.orderyear, s.shipyear, s.linestatus, s.returnflag, s.late AS label, j.late AS state, count(*) AS n, min(j.p) AS p
   FROM star s JOIN joint j USING (orderyear, shipyear, linestatus, returnflag) GROUP BY ALL),
 c AS (SELECT *, p / sum(p) OVER (PARTITION BY orderyear, shipyear, linestatus, returnflag, label) AS q FROM j),

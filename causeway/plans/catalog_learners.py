@@ -94,7 +94,7 @@ def greedy_deterministic(spark, sf):
 @query("constraint_full")
 def constraint_full(spark, sf):
     """Constraint-based search over all rows of eight columns."""
-    found = constraint_search(w.star(spark, sf).select(*LEARNED), ConstraintConfig(alpha=0.001, max_depth=2))
+    found = constraint_search(w.star(spark, sf).select(*LEARNED), ConstraintConfig(alpha=0.001))
     return _edges(spark, found)
 
 
@@ -136,7 +136,7 @@ def advised_dag(spark, sf):
 def advised_constraint(spark, sf):
     """Constraint-based search with an advisor for borderline tests, edges and directions."""
     advisor = Advisor(spark, RequestSettings(model="stand-in"), responder=_responder)
-    config = ConstraintConfig(alpha=0.001, borderline=0.0005, max_depth=1)
+    config = ConstraintConfig(alpha=0.001, borderline=0.0005)
     return _edges(spark, advised_constraint_search(w.star(spark, sf).select(*LEARNED), config, advisor))
 
 

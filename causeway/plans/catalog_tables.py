@@ -230,6 +230,27 @@ def covariance(spark, sf):
     return out.select("a", "b", F.round("cov", 4).alias("cov"), "n")
 
 
+SPARSE = [f"{c}{k}" for k in range(5) for c in w.NUMERIC_COLUMNS]
+SPARSE_SQL = ", ".join(
+    f"CASE WHEN quantity % 5 = {k} THEN NULL ELSE {c} * {k + 1} + quantity END AS {c}{k}"
+    for k in range(5) for c in w.NUMERIC_COLUMNS)
+
+
+def _sparse(spark, sf):
+    return w.star_numeric(spark, sf).select(*[
+        F.when(F.col("quantity") % 5 != k, F.col(c) * (k + 1) + F.col("quantity")).alias(f"{c}{k}")
+        for k in range(5) for c in w.NUMERIC_COLUMNS
+    ])
+
+
+@query("covariance_wide", f"""{NUM}, s AS (SELECT {SPARSE_SQL} FROM num)
+SELECT e.a AS a, e.b AS b, round(e.cov, 2) AS cov, e.n AS n FROM (SELECT unnest([{', '.join(
+    f"{{'a': '{a}', 'b': '{b}', 'cov': covar_samp({a}, {b}), 'n': count(*)}}" for i, a in enumerate(SPARSE) for b in SPARSE[i:])}]) AS e FROM s)""")
+def covariance_wide(spark, sf):
+    """35 columns, each without a value in a fifth of the rows."""
+    return counts.covariance(_sparse(spark, sf), SPARSE).select("a", "b", F.round("cov", 2).alias("cov"), "n")
+
+
 @query("correlation", f"{NUM} " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM num"
     for a in w.NUMERIC_COLUMNS for b in w.NUMERIC_COLUMNS))
@@ -238,6 +259,15 @@ def correlation(spark, sf):
     return out.select("a", "b", F.round("corr", 6).alias("corr"))
 
 
+@query("correlation_wide", f"""{NUM}, s AS (SELECT {SPARSE_SQL} FROM num)
+SELECT e.a AS a, e.b AS b, round(e.corr, 6) AS corr FROM (SELECT unnest([{', '.join(
+    f"{{'a': '{a}', 'b': '{b}', 'corr': corr({a}, {b})}}" for a in SPARSE for b in SPARSE)}]) AS e FROM s)""")
+def correlation_wide(spark, sf):
+    """The same columns; each pair over the rows that have both values."""
+    out = counts.correlation(_sparse(spark, sf), SPARSE)
+    return out.select("a", "b", F.round("corr", 6).alias("corr"))
+
+
 SCORED = FAMILIES[:3] + [Family(3, "segment", ()), Family(4, "brand", ("ptype",))]
 
 
@@ -369,7 +399,7 @@ def sample_cols(spark, sf):
 WITH pool AS (SELECT DISTINCT p_brand AS c FROM part),
 forced AS (SELECT s_suppkey, p_brand AS c, min(p_partkey) AS ord FROM supplier
   JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  WHERE l_quantity >= 49 GROUP BY ALL),
+  GROUP BY ALL),
 ranked AS (SELECT s_suppkey, pool.c, row_number() OVER (PARTITION BY s_suppkey ORDER BY
     CASE WHEN ord IS NULL THEN 1 ELSE 0 END, ord,
     {_H.format(f"CAST(s_suppkey + {SEED} AS VARCHAR) || '|' || pool.c")}, pool.c) AS rk
@@ -377,10 +407,10 @@ ranked AS (SELECT s_suppkey, pool.c, row_number() OVER (PARTITION BY s_suppkey O
 SELECT s_suppkey AS sample_id, string_agg(c, ',' ORDER BY rk) AS cols FROM ranked WHERE rk <= 5
 GROUP BY s_suppkey""")
 def forced_cols(spark, sf):
-    """Brands a supplier sold in bulk first (up to five), the rest in hash order."""
+    """Brands a supplier sold first, by part (up to five), the rest in hash order."""
     brands = [r["p_brand"] for r in w.table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
     sold = (
-        w.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 49)
+        w.table(spark, sf, "lineitem")
         .join(w.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_suppkey", "p_brand").agg(F.min("p_partkey").alias("ord"))
         .groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("ord", "p_brand"))).alias("o"))
@@ -414,12 +444,17 @@ def split_exact(spark, sf):
     return out
 
 
-@query("row_cap", "SELECT least(count(*), 500) AS n, least(count(DISTINCT o_orderkey), 500) AS keys FROM orders")
-def row_cap(spark, sf):
-    """Exactly the allowed number of rows is kept."""
-    orders = w.table(spark, sf, "orders").select("o_orderkey")
-    kept = sampling.cap_rows(orders, ["o_orderkey"], 500, SEED)
-    return kept.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+@query("keyed_partitions", "SELECT count(*) AS n, count(DISTINCT (o_orderkey)) AS keys, true AS one_id_per_row FROM orders")
+def keyed_partitions(spark, sf):
+    """A table of partition folders, whose files have the same names, read with a row id."""
+    path = os.path.join(shared_dir(spark), f"keyed-{uuid.uuid4().hex}")
+    orders = w.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    states = [r[0] for r in orders.select("o_orderstatus").distinct().collect()]
+    for state in states:  # one writer per folder gives every folder a file of the same index
+        orders.where(F.col("o_orderstatus") == state).select("o_orderkey").write.parquet(f"{path}/state={state}")
+    keyed = tables.read_keyed(spark, path)
+    return keyed.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"),
+                     (F.count_distinct("row_id") == F.count("*")).alias("one_id_per_row"))
 
 
 @query("distinct_states", f"""{STAR}, long AS ({UNPIVOT.format(ALL)}) SELECT DISTINCT var, state FROM long""")

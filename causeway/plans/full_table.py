@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.config import AnswerConfig, ConstraintConfig, FullSearchConfig
 from causeway.functions import text
-from causeway.operators import advice, assemble, citest, graph, sampling, scores
+from causeway.operators import advice, assemble, citest, graph, scores
 from causeway.operators.counts import Family, covariance_matrix
 from causeway.operators.encode import encode_table, numeric_or_code
 from causeway.plans.search import Pattern, dag_edges, equivalence_search, extend_to_dag
@@ -21,10 +21,6 @@ BATCH = 2000
 
 def _prepared(df: DataFrame, key: str | None, config) -> tuple[DataFrame, list[str]]:
     columns = [c for c in df.columns if c != key and c not in config.ignore_columns]
-    if config.max_rows is not None:
-        if key is None:
-            raise ValueError("a row cap needs a key column")
-        df = sampling.cap_rows(df, [key], config.max_rows, config.random_seed)
     return df.select(*columns), columns
 
 
@@ -96,7 +92,7 @@ def constraint_search(df: DataFrame, config: ConstraintConfig, key: str | None =
     """Skeleton by levels, colliders, forced orientations, then one consistent extension."""
     df, columns = _prepared(df, key, config)
     encoded = encode_table(df, columns)
-    found = citest.skeleton(encoded, config.alpha, max_depth=config.max_depth, union_sets=False)
+    found = citest.skeleton(encoded, config.alpha, union_sets=False)
     directed, undirected = _orient(df.sparkSession, found)
     names = sorted(columns)
     at = {c: i for i, c in enumerate(names)}
@@ -125,14 +121,18 @@ def _independence_advisor(advisor: Advisor):
     return scores_of
 
 
-def resolve_cycles(edges: DataFrame, advisor: Advisor, max_cycles: int, num_nodes: int) -> DataFrame:
-    """Up to three rounds of one advised edit per cycle; then each cycle loses its closing edge."""
+def resolve_cycles(edges: DataFrame, advisor: Advisor) -> DataFrame:
+    """Up to three rounds of one advised edit per cycle; then each cycle loses its closing edge.
+
+    The cycles asked about are the shortest one through each edge, so none of the edges on a cycle is
+    left out and there are no more cycles than edges.
+    """
     def numbered(df: DataFrame) -> DataFrame:
         return df.select(F.lit(0).alias("run_id"), F.concat_ws(">", "parent", "child").alias("edge_ord"),
                          "parent", "child")
 
     for _ in range(3):
-        cycles = durable(graph.simple_cycles(edges, max_cycles, num_nodes))
+        cycles = durable(graph.shortest_cycles(edges))
         if cycles.isEmpty():
             return edges
         answers = advisor.answer(advice.render_cycle_edit(cycles), "cycle_resolve")
@@ -145,7 +145,7 @@ def resolve_cycles(edges: DataFrame, advisor: Advisor, max_cycles: int, num_node
             break
         edges = durable(assemble.cycle_edits(numbered(edges), edits).select("parent", "child"))
     while True:
-        left = durable(graph.simple_cycles(edges, max_cycles, num_nodes))
+        left = durable(graph.shortest_cycles(edges))
         if left.isEmpty():
             return edges
         closing = left.select(F.element_at("cycle", -1).alias("parent"), F.col("cycle")[0].alias("child"))
@@ -160,7 +160,7 @@ def advised_constraint_search(df: DataFrame, config: ConstraintConfig, advisor:
     edges: DataFrame | None = None
     for _ in range(config.max_iterations):
         found = citest.skeleton(encoded, config.alpha, config.borderline,
-                                _independence_advisor(advisor), config.max_depth)
+                                _independence_advisor(advisor))
         directed, undirected = _orient(df.sparkSession, found)
         checks = advisor.answer(advice.render_edge_check(directed), "edge_check")
         verdicts = checks.select("parent", "child", text.parse_verdict(F.col("content")).alias("verdict"))
@@ -168,7 +168,7 @@ def advised_constraint_search(df: DataFrame, config: ConstraintConfig, advisor:
         turns = advisor.answer(advice.render_orientation(undirected), "edge_orient")
         bits = turns.select("a", "b", text.parse_bit(F.col("content")).alias("bit"))
         edges = durable(kept.union(advice.orient_pairs(undirected, bits)).distinct())
-        edges = resolve_cycles(edges, advisor, config.max_cycles, len(columns))
+        edges = resolve_cycles(edges, advisor)
     return sorted((r["parent"], r["child"]) for r in collect_bounded(edges, "edges"))
 
 

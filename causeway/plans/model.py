@@ -41,8 +41,7 @@ class Model:
 
     def fit_parameters(self, df: DataFrame) -> "Model":
         if self.config.backend == "blanket":
-            cap = getattr(self.config, "blanket_cap", None)
-            self.network = fit_blankets(df, self.network.nodes, self.network.edges, cap)
+            self.network = fit_blankets(df, self.network.nodes, self.network.edges)
         else:
             self.network = fit_global(df, self.network.nodes, self.network.edges)
         return self

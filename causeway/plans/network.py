@@ -98,8 +98,7 @@ def fit_global(df: DataFrame, nodes: Sequence[str], edges: Iterable[Edge]) -> Ne
     return Network(tuple(nodes), edges, encoded.states, cpts, durable(_keyed(cpts)))
 
 
-def fit_blankets(df: DataFrame, nodes: Sequence[str], edges: Iterable[Edge],
-                 cap: int | None = None) -> Network:
+def fit_blankets(df: DataFrame, nodes: Sequence[str], edges: Iterable[Edge]) -> Network:
     """Separate tables per target's blanket; equal families are counted only once.
 
     In the induced graph a spouse keeps only those parents that lie in the blanket.
@@ -107,10 +106,7 @@ def fit_blankets(df: DataFrame, nodes: Sequence[str], edges: Iterable[Edge],
     edges = tuple(sorted(edges))
     encoded = encode_table(df, list(nodes))
     parents = parents_of(nodes, edges)
-    if cap is None:
-        local = {n: blanket_of(n, parents) for n in nodes}
-    else:
-        local = capped_blankets(nodes, parents, cap)
+    local = {n: blanket_of(n, parents) for n in nodes}
     ids: dict[tuple[str, tuple[str, ...]], int] = {}
     owners: dict[str, dict[str, int]] = {}
     for target in nodes:
@@ -123,26 +119,6 @@ def fit_blankets(df: DataFrame, nodes: Sequence[str], edges: Iterable[Edge],
     return Network(tuple(nodes), edges, encoded.states, cpts, durable(_keyed(cpts)), local, owners)
 
 
-def capped_blankets(nodes: Sequence[str], parents: dict[str, list[str]],
-                    cap: int) -> dict[str, set[str]]:
-    """Breadth-first neighbourhoods, parents before children, cut at ``cap`` nodes."""
-    children: dict[str, list[str]] = {n: [] for n in nodes}
-    for child in nodes:
-        for p in parents[child]:
-            children[p].append(child)
-    out = {}
-    for seed in nodes:
-        seen: list[str] = []
-        queue = [seed]
-        while queue and len(seen) < cap:
-            node = queue.pop(0)
-            if node not in seen:
-                seen.append(node)
-                queue += parents[node] + children[node]
-        out[seed] = set(seen)
-    return out
-
-
 def topological(nodes: Sequence[str], parents: dict[str, list[str]]) -> list[str]:
     """Parents before children; a cycle is an error."""
     left, out = list(nodes), []

@@ -20,13 +20,12 @@ from causeway.plans.search import bdeu_scorer, dag_edges, equivalence_search
 from causeway.session import BROADCAST_ROWS, collect_bounded, durable, local_frame
 
 # Parents a node may have inside one subsample search, whatever the final cap is.
-SEARCH_PARENTS = 5
 EDGES = "sample_id int, edge_ord int, parent string, child string"
 
 Learner = Callable[[pd.DataFrame], Sequence[tuple[str, str]]]
 
 
-def discrete_learner(settings: SearchSettings) -> Learner:
+def discrete_learner(settings: SearchSettings, max_parents: int) -> Learner:
     ess = float(settings.parameters.get("ess", 1.0))
 
     def learn(pdf: pd.DataFrame) -> list[tuple[str, str]]:
@@ -34,12 +33,12 @@ def discrete_learner(settings: SearchSettings) -> Learner:
         coded = [np.unique(pdf[c].to_numpy(), return_inverse=True) for c in names]
         data = np.column_stack([inverse for _, inverse in coded])
         scorer = bdeu_scorer(data, [len(states) for states, _ in coded], ess)
-        return dag_edges(equivalence_search(len(names), scorer, SEARCH_PARENTS), names)
+        return dag_edges(equivalence_search(len(names), scorer, max_parents), names)
 
     return learn
 
 
-def gaussian_learner(settings: SearchSettings) -> Learner:
+def gaussian_learner(settings: SearchSettings, max_parents: int) -> Learner:
     params = settings.parameters
     eps = params.get("det_epsilon") if settings.score == "bic_det" else None
 
@@ -52,7 +51,7 @@ def gaussian_learner(settings: SearchSettings) -> Learner:
             return [gaussian_bic(cov, n, c, sorted(pa), params["lambda_value"], eps)
                     for c, pa in keys]
 
-        return dag_edges(equivalence_search(len(names), score, SEARCH_PARENTS), names)
+        return dag_edges(equivalence_search(len(names), score, max_parents), names)
 
     return learn
 
@@ -105,7 +104,8 @@ def search_samples(prepared: Prepared, key: str, plan: DataFrame, num_samples: i
     spark = prepared.rows.sparkSession
     k = min(config.num_rows_per_sample, prepared.total)
     learn = learner or (
-        discrete_learner(config.search) if prepared.discrete else gaussian_learner(config.search)
+        discrete_learner(config.search, config.max_parents) if prepared.discrete
+        else gaussian_learner(config.search, config.max_parents)
     )
     position = F.create_map(*[
         part for i, c in enumerate(prepared.columns) for part in (F.lit(c), F.lit(i))

@@ -13,6 +13,11 @@ from causeway.session import durable
 NO_NULL = "\u0001no-null\u0001"
 
 
+def read_keyed_csv(spark: SparkSession, path: str, schema: str | None = None, key: str = "row_id") -> DataFrame:
+    """CSV with a row id; the table is written once, since positions in text files are not kept by the scan."""
+    return with_row_id(read_csv(spark, path, schema), key)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header; every cell is text and stays what it is, empty cells are ''."""
     reader = (
@@ -25,14 +30,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def read_keyed(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                key: str = "row_id") -> DataFrame:
-    """Parquet scan with a row id made of file name and position in the file.
+    """Parquet scan with a row id made of the file's path and the position in the file.
 
     The id comes from the scan itself: no shuffle, and a retried task reads the same ids.
     """
     df = spark.read.parquet(path)
     wanted = list(columns) if columns is not None else df.columns
     return df.select(
-        F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias(key),
+        F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(key),
         *wanted,
     )
 

@@ -66,10 +66,10 @@ def test_other_parsers(spark):
 def test_configuration_ranges():
     ok = {"num_samples": 1, "num_rows_per_sample": 1, "num_columns_per_sample": 1, "max_parents": 1}
     config.SubsampleConfig(**ok)
-    for bad in ({"num_samples": 0}, {"frequency_cutoff": 1.5}, {"blanket_cap": 0}, {"rank_by": "x"}, {"backend": "x"}):
+    for bad in ({"num_samples": 0}, {"frequency_cutoff": 1.5}, {"rank_by": "x"}, {"backend": "x"}):
         with pytest.raises(ValueError):
             config.SubsampleConfig(**{**ok, **bad})
-    for bad in ({"alpha": 0.0}, {"borderline": -1}, {"max_calls": 0}):
+    for bad in ({"alpha": 0.0}, {"borderline": -1}, {"max_iterations": 0}):
         with pytest.raises(ValueError):
             config.ConstraintConfig(**bad)
     with pytest.raises(ValueError):

@@ -21,12 +21,15 @@ def test_closure(spark, dag):
 def test_paths_and_cycles(spark, dag):
     more = dag.union(spark.createDataFrame([("a", "d"), ("e", "c")], "parent string, child string"))
     pairs = spark.createDataFrame([("a", "d"), ("e", "f"), ("a", "a")], "start string, end string")
-    got = graph.simple_paths(pairs, more, 10, 6).orderBy("start", "end", "path_ord").collect()
+    got = graph.simple_paths(pairs, more).orderBy("start", "end", "path_ord").collect()
     assert [r["path"] for r in got] == [["a"], ["a", "d"], ["a", "c", "d"]]
-    assert len(graph.simple_paths(pairs.limit(1), more, 0, 6).collect()) == 1
-    assert [r["cycle"] for r in graph.simple_cycles(more, 10, 6).collect()] == [["c", "d", "e"]]
+    assert [r["cycle"] for r in graph.simple_cycles(more).collect()] == [["c", "d", "e"]]
     two = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "x")], "parent string, child string")
-    assert [r["cycle"] for r in graph.simple_cycles(two, 10, 6).collect()] == [["x", "y"]]
+    assert [r["cycle"] for r in graph.simple_cycles(two).collect()] == [["x", "y"]]
+    both = more.union(spark.createDataFrame([("d", "c"), ("e", "b")], "parent string, child string"))
+    got = {tuple(r["cycle"]) for r in graph.shortest_cycles(both).collect()}
+    assert got == {("c", "d"), ("c", "d", "e"), ("b", "c", "d", "e")}
+    assert graph.shortest_cycles(dag).isEmpty()
 
 
 def test_blankets(spark, dag):

@@ -83,7 +83,7 @@ def test_arbitration_replaces_reverts_and_reports(spark):
     none = spark.createDataFrame([], ADVICE)
     assert edges(assemble.assemble_advised(data, none, 3)) == {("a", "b"), ("b", "c"), ("a", "d")}
     open_ = assemble.assemble_advised(data, none, 3, conflicts=True).collect()
-    assert [(r["parent"], r["child"], r["paths"]) for r in open_] == [("c", "a", [["a", "b", "c"]])]
+    assert [(r["parent"], r["child"], [tuple(e) for e in r["edges"]]) for r in open_] == [("c", "a", [("a", "b"), ("b", "c")])]
     good = spark.createDataFrame([(0, "c", "a", [("a", "b")])], ADVICE)
     assert edges(assemble.assemble_advised(data, good, 3)) == {("b", "c"), ("c", "a"), ("a", "d")}
     bad = spark.createDataFrame([(0, "c", "a", [("a", "d")])], ADVICE)
@@ -96,11 +96,9 @@ def test_failed_removal_is_restored(spark):
     assert edges(assemble.assemble_advised(ranked(spark, rows), half, 3)) == {("a", "b"), ("b", "c"), ("a", "c")}
 
 
-def test_path_overflow_is_visible():
-    wide = assemble.EdgeList([("s", f"m{i}") for i in range(20)] + [(f"m{i}", "t") for i in range(20)])
-    assert len(wide.paths("s", "t", cap=10)) == 11
-    assert len(wide.paths("s", "t", cap=10, max_steps=3)) == 11
-    assert wide.paths("t", "s") == []
+def test_blocking_edges_are_complete():
+    wide = assemble.EdgeList([("s", f"m{i}") for i in range(20)] + [(f"m{i}", "t") for i in range(20)] + [("s", "x"), ("y", "t")])
+    assert len(wide.between("s", "t")) == 40 and wide.between("t", "s") == []
     assert wide.reaches("x", "x")
 
 
