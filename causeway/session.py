@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
 DRIVER_ROWS = 2_000_000
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="causeway-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``durable`` writes inside the block when it ends.
+
+    Frames that read them must have been written or collected by then.
+    """
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN[first:]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        del _WRITTEN[first:]
+
+
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table.
 
@@ -44,6 +68,7 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _WRITTEN.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -86,3 +86,46 @@ def test_scores_registry():
     assert config.score_spec(None)[0] == "bdeu"
     assert config.score_parameters("bic", {"x": 1}, 2.0) == {"lambda_value": 2.0, "x": 1}
     assert config.score_parameters("bdeu", None, 2.0) == {}
+
+
+def test_scratch_removes_its_tables(spark):
+    import os
+
+    from causeway.session import durable, scratch, shared_dir
+
+    kept = durable(spark.range(3))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    with scratch(spark):
+        assert durable(durable(spark.range(5)).filter("id > 1")).count() == 3
+    assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before
+    assert kept.count() == 3
+
+
+def test_row_ids_over_folders(spark, tmp_path):
+    from causeway.sources.tables import read_keyed, read_keyed_csv
+
+    for day in (1, 2):
+        spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/t/day={day}")
+        source = next((tmp_path / "t" / f"day={day}").glob("part-*.parquet"))
+        source.rename(source.with_name("part-0.parquet"))
+    rows = read_keyed(spark, f"{tmp_path}/t", ["id"]).collect()
+    assert len(rows) == 20 and len({r.row_id for r in rows}) == 20
+    spark.range(7).write.option("header", True).csv(f"{tmp_path}/c")
+    assert len({r.row_id for r in read_keyed_csv(spark, f"{tmp_path}/c").collect()}) == 7
+
+
+def test_moments_ignore_missing_values_pairwise(spark):
+    import numpy as np
+    import pandas as pd
+
+    from causeway.operators import counts
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 40)) + rng.normal(size=(300, 1)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(40)]
+    pdf = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names)).repartition(4)
+    for got, want, col in ((counts.covariance(df, names), pdf.cov(), "cov"), (counts.correlation(df, names), pdf.corr(), "corr")):
+        for r in got.collect():
+            assert abs(r[col] - want.loc[r.a, r.b]) < 1e-6
