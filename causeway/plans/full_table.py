@@ -9,7 +9,7 @@ from causeway.config import AnswerConfig, ConstraintConfig, FullSearchConfig
 from causeway.functions import text
 from causeway.operators import advice, assemble, citest, graph, scores
 from causeway.operators.counts import Family, covariance_matrix
-from causeway.operators.encode import encode_table, numeric_or_code
+from causeway.operators.encode import encode_table, numeric_or_code, state_catalogue
 from causeway.plans.search import Pattern, dag_edges, equivalence_search, extend_to_dag
 from causeway.session import collect_bounded, durable, local_frame
 from causeway.sources.responses import Advisor
@@ -178,15 +178,44 @@ def structure_from_document(answers: DataFrame, nodes: DataFrame, config: Answer
     return assemble.acyclic_filter(edges) if config.enforce_acyclic else edges
 
 
+def visit_search(df: DataFrame, config: AnswerConfig, advisor: Advisor, key: str | None = None,
+                 dictionary: DataFrame | None = None) -> list[Edge]:
+    """Ask for the roots, then for the effects of every node reached, one batch of requests per level."""
+    columns = [c for c in df.columns if c != key and c not in config.ignore_columns]
+    spark = df.sparkSession
+    known = dictionary if dictionary is not None else local_frame(spark, [], "var string, description string")
+    nodes = local_frame(spark, [(c,) for c in columns], "node string")
+    asked = advice.render_variables(state_catalogue(df, columns), known)
+    root_answer = advisor.answer(asked, "visit_roots").first()["content"] or ""
+    level = _named_roots(root_answer, columns)
+    visits: list[tuple[int, int, str, str | None]] = []
+    met = set(level)
+    while level:
+        answers = advisor.answer(advice.render_followup(local_frame(spark, [(n,) for n in level], "node string"), None), "visit_effects")
+        answers = durable(answers.select("node", "content", text.parse_tagged(F.col("content")).alias("names")))
+        got = {r["node"]: r for r in collect_bounded(answers, "answers")}
+        order = [n for n in level if n in got]
+        visits += [(0, len(visits) + i, n, got[n]["content"]) for i, n in enumerate(order)]
+        level = [c for c in dict.fromkeys(c for n in order for c in got[n]["names"] or []) if c in columns and c not in met]
+        met.update(level)
+    rows = local_frame(spark, visits, "run_id int, ord int, visited string, content string")
+    found = structure_from_visits(root_answer, rows, nodes, columns)
+    return [(r["parent"], r["child"]) for r in collect_bounded(found, "edges")]
+
+
+def _named_roots(answer: str, known: list[str]) -> list[str]:
+    inner = answer.partition("<Answer>")[2].partition("</Answer>")
+    roots = [n.strip() for n in inner[0].split(",") if n.strip() in known] if inner[1] else []
+    if not roots:
+        raise ValueError("the answer names no known root")
+    return roots
+
+
 def structure_from_visits(root_answer: str, visits: DataFrame, nodes: DataFrame,
                           known: list[str]) -> DataFrame:
     """Edges from one answer naming the roots and one answer per visited node.
 
     ``visits`` is (run_id, ord, visited, content).
     """
-    inner = root_answer.partition("<Answer>")[2].partition("</Answer>")
-    roots = [n.strip() for n in inner[0].split(",") if n.strip() in known] if inner[1] else []
-    if not roots:
-        raise ValueError("the answer names no known root")
     names = text.parse_tagged(F.col("content"))
-    return assemble.acyclic_filter(advice.answer_children(visits, roots, nodes, names))
+    return assemble.acyclic_filter(advice.answer_children(visits, _named_roots(root_answer, known), nodes, names))

@@ -17,6 +17,7 @@ from causeway.plans.full_table import (
     constraint_search,
     greedy_search,
     structure_from_document,
+    visit_search,
 )
 from causeway.plans.network import Network, ParametersNotFitted, fit_blankets, fit_global
 from causeway.plans.subsample import learn_subsampled
@@ -155,6 +156,7 @@ LEARNERS: dict[str, Learn] = {
     "pc": lambda df, c, key, a, d: constraint_search(df, c, key),
     "advised_pc": lambda df, c, key, a, d: advised_constraint_search(df, c, a, key),
     "document": _document,
+    "visits": lambda df, c, key, a, d: visit_search(df, c, a, key, d),
     "advised_all": _advised(_flags(AUGMENTATIONS)),
     **{f"advised_{x}": _advised(_flags([x])) for x in AUGMENTATIONS},
     **{f"advised_without_{x}": _advised(_flags([y for y in AUGMENTATIONS if y != x])) for x in AUGMENTATIONS},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,27 +36,38 @@ def append_store(answers: DataFrame, path: str, seq: int) -> None:
 class Advisor:
     """Answers request tables from stored responses and, for misses, a responder.
 
-    Keeps the calls made within the budget and records them for the usage ledger.
+    Keeps the calls made within the budget and records them for the usage ledger. Every batch is
+    written once as a part of its own; parts are put together when they are read.
     """
 
     def __init__(self, spark: SparkSession, settings: RequestSettings, store: DataFrame | None = None,
                  responder: advice.Responder | None = None, max_calls: int = 20_000) -> None:
         self.spark, self.settings = spark, settings
-        self.store = durable(store.select("key", "content", "usage")) if store is not None else None
+        self._stored = [durable(store.select("key", "content", "usage"))] if store is not None else []
+        self._called: list[DataFrame] = []
         self.responder, self.max_calls = responder, max_calls
         self.made = 0
-        self.calls: DataFrame | None = None
+
+    @property
+    def store(self) -> DataFrame | None:
+        """All stored responses."""
+        return reduce(DataFrame.unionByName, self._stored) if self._stored else None
+
+    @property
+    def calls(self) -> DataFrame | None:
+        """All recorded calls."""
+        return reduce(DataFrame.unionByName, self._called) if self._called else None
 
     def answer(self, rendered: DataFrame, op: str) -> DataFrame:
         """The rendered rows with ``content`` (NULL without an answer)."""
         asked = durable(advice.as_requests(rendered, op, self.settings))
-        known = self.store if self.store is not None else empty_store(self.spark).drop("seq")
+        known = self.store if self._stored else empty_store(self.spark).drop("seq")
         hits, misses = advice.split_requests(asked, known)
         fresh = None
         if self.responder is not None:
             self.made = advice.check_budget(misses, self.made, self.max_calls)
             fresh = durable(advice.ask(misses, self.responder))
-            self.store = durable(known.unionByName(advice.storable(fresh)))
+            self._stored.append(durable(advice.storable(fresh)))
         self._record(hits, fresh, op)
         got = known.select("key", "content")
         if fresh is not None:
@@ -74,4 +87,4 @@ class Advisor:
         if fresh is not None:
             new = new.unionByName(rows(fresh.where("usage IS NOT NULL"), False,
                                        F.coalesce("truncated", F.lit(False))))
-        self.calls = durable(new if self.calls is None else self.calls.unionByName(new))
+        self._called.append(durable(new))

@@ -84,6 +84,21 @@ def test_advised_constraint_search(spark, table):
         advised_constraint_search(table, ConstraintConfig(alpha=0.001), tight, key="id")
 
 
+def test_visits_follow_the_answers(spark, table):
+    says = {"a": "c, b", "b": "c", "c": "d, a", "d": "", "x": "x"}
+
+    def answer(pdf):
+        def reply(op, user):
+            return "<Answer>a, q</Answer>" if op == "visit_roots" else f"<Answer>{says[user.split()[3]]}</Answer>"
+
+        return _responder(pdf).assign(content=[reply(o, u) for o, u in zip(pdf["op"], pdf["user"])])
+
+    advisor = Advisor(spark, RequestSettings(model="m"), responder=answer)
+    edges = fit("visits", table, AnswerConfig(), "id", advisor).network.edges
+    assert set(edges) == {("a", "c"), ("a", "b"), ("b", "c"), ("c", "d")}
+    assert advisor.made == 5  # the roots, then a, then c and b, then d
+
+
 def test_answer_structures(spark, table):
     def answer(pdf):
         doc = '{"nodes": [{"node_name": "c", "parents": ["a", "zz", "c"]}, {"node_name": "a", "parents": ["c"]}]}'
