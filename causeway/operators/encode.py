@@ -95,12 +95,13 @@ def encode_table(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
                  max_states: int = MAX_STATES, pin: bool = True) -> Encoded:
     """Replace the states of ``columns`` by their codes, keeping the ``keep`` columns.
 
-    Codes are looked up with one join per column. The state lists are broadcast when
-    their counted size allows it and joined by shuffle otherwise. The result is written
-    once, because searches read it many times.
+    One aggregate over the source finds the states, a second pass writes the codes; no copy of
+    the text is kept. Codes are looked up with one join per column. The state lists are broadcast
+    when their counted size allows it and joined by shuffle otherwise. The result is written once,
+    because searches read it many times.
     """
     columns = list(columns)
-    out = durable(spread(as_text(df.select(*keep, *columns), columns)))
+    out = spread(as_text(df.select(*keep, *columns), columns))
     found = collect_bounded(
         state_counts(out, columns).select("var", "state"), "states", max_states * len(columns)
     )

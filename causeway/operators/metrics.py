@@ -12,7 +12,6 @@ from causeway.session import local_frame
 
 UNKNOWN = "__unknown__"
 RELATIONS = ("A->B", "B->A", "none")
-MAX_T_TRIALS = 10_000
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -222,10 +221,14 @@ def structure_report(learned: DataFrame, learned_nodes: DataFrame, truth: DataFr
     )
 
 
-def t_table(spark, most: int) -> DataFrame:
-    """(n_trials, t95): two-sided 95 % quantiles with n - 1 degrees of freedom."""
-    rows = [(n, t_quantile(n - 1)) for n in range(2, most + 1)]
-    return local_frame(spark, rows, "n_trials bigint, t95 double")
+def t_table(counts: DataFrame) -> DataFrame:
+    """(n_trials, t95) per distinct count: two-sided 95 % quantiles with n - 1 degrees of freedom."""
+    def quantiles(batches):
+        for pdf in batches:
+            yield pdf.assign(t95=[t_quantile(int(n) - 1) for n in pdf["n_trials"]])
+
+    distinct = counts.select("n_trials").where(F.col("n_trials") > 1).distinct()
+    return distinct.mapInPandas(quantiles, "n_trials bigint, t95 double")
 
 
 def across_trials(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -238,11 +241,7 @@ def across_trials(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count("value").alias("n_trials"),
         F.array_sort(F.collect_list(F.struct("trial", "value"))).alias("by_trial"),
     )
-    most = metrics.select("trial").distinct().limit(MAX_T_TRIALS + 1).count()
-    if most > MAX_T_TRIALS:
-        raise ValueError(f"more than {MAX_T_TRIALS} trials")
-    table = t_table(metrics.sparkSession, max(2, most))
-    joined = stats.join(F.broadcast(table), "n_trials", "left")
+    joined = stats.join(t_table(stats), "n_trials", "left")
     std = F.when(F.col("n_trials") > 1, F.col("sd")).otherwise(0.0)
     margin = F.when(
         F.col("n_trials") > 1, F.col("t95") * F.col("sd") / F.sqrt("n_trials")
