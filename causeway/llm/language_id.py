@@ -90,9 +90,13 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", doc_id: str
     """Fit on at most ``sample_docs`` texts of each language, drawn by a hash, of ``sample_bytes`` in total."""
     known = docs.select(F.col(label).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(doc_id).alias("key"))
     known = known.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = known.join(counts, "lang").filter(hash_unit(F.coalesce(F.col("key").cast("string"), F.lit("")), F.xxhash64("text")) * F.col("n") < 2 * sample_docs)
-    drawn = drawn.filter(F.col("text").rlike(r"\p{L}"))
+    known = known.filter(F.col("text").rlike(r"\p{L}"))
+    # one row per language, which the model holds anyway; the draw then needs no join and moves only what it takes
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return fit([], [], **options)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample_docs / n)))])
+    drawn = known.filter(hash_unit(F.coalesce(F.col("key").cast("string"), F.lit("")), F.xxhash64("text")) < share[F.col("lang")])
     texts, langs, taken, held = [], [], {}, 0
     for row in drawn.orderBy(F.xxhash64("key", "text")).toLocalIterator():
         size = len(row.text.encode())
