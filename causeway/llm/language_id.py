@@ -32,6 +32,8 @@ class LanguageModel:
 
     def label(self, texts: list[str | None], spans: bool = False) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
         """Probabilities per text, and, if asked for, runs of bytes (start, end, label) with one best label."""
+        if not self.labels:  # nothing was learned
+            return np.zeros((len(texts), 0)), [[] for _ in texts]
         parts = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
         windows = np.array([-(-len(p) // WINDOW) for p in parts], np.int64)
         first = np.concatenate(([0], np.cumsum(windows)))
