@@ -28,7 +28,6 @@ BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 LOWERED = np.array([b + 32 if chr(b) in UPPER else b for b in range(256)], np.uint8)
 END = np.uint64(0x5BD1E9955BD1E995)  # key of the end token
 UNKNOWN = np.int64(-1)
-RANGE = 1 << 18  # word numbers per file of word statistics
 
 
 def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +77,7 @@ class Model:
     word_shards: int = 1
     pair_shards: int = 1
     word_start: list[int] = field(default_factory=list)  # number of the first word of each shard
+    block: int = 1 << 12  # word numbers per file of word statistics
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     word_types: tuple[int, int, int] = (0, 0, 0)  # words seen after one, two, more others
@@ -123,10 +123,10 @@ class Model:
         """Rows of word statistics: pair total, followers by count 1, 2, 3+, and number of predecessors."""
         out = np.zeros((len(number), 5), np.int64)
         known = np.flatnonzero(number >= 0)
-        block = number[known] // RANGE
+        block = number[known] // self.block
         for k in np.unique(block):
             own = known[block == k]
-            out[own] = self.array(f"stats-{k}")[number[own] % RANGE]
+            out[own] = self.array(f"stats-{k}")[number[own] % self.block]
         return out
 
 
@@ -210,7 +210,7 @@ def _merge_words(folder: str):
 STATS = "block bigint, ids binary, rows binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, pairs bigint"
 
 
-def _merge_pairs(folder: str):
+def _merge_pairs(folder: str, block: int):
     """Store a shard of pairs; send on what it adds to the statistics of its contexts and words."""
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table)
@@ -224,11 +224,11 @@ def _merge_pairs(folder: str):
             np.bincount(at, counts, len(ids)), *(np.bincount(at, counts == c, len(ids)) for c in (1, 2)),
             np.bincount(at, counts >= 3, len(ids)), np.bincount(np.searchsorted(ids, word), minlength=len(ids)),
         ], axis=1).astype("<u4" if counts.max() < 2**31 and counts.sum(dtype=np.int64) < 2**32 else "<u8")
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(ids // RANGE) != 0)))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(ids // block) != 0)))
         spans = list(zip(edges, np.append(edges[1:], len(ids))))
         ones = [[int((counts == c).sum()) if i == 0 else 0 for i in range(len(spans))] for c in (1, 2, 3, 4)]
         return pa.table({
-            "block": [int(ids[a] // RANGE) for a, _ in spans], "ids": [(ids[a:b] % RANGE).astype("<u4").tobytes() for a, b in spans],
+            "block": [int(ids[a] // block) for a, _ in spans], "ids": [(ids[a:b] % block).astype("<u4").tobytes() for a, b in spans],
             "rows": [bytes([rows.itemsize]) + rows[a:b].T.tobytes() for a, b in spans],
             "n1": ones[0], "n2": ones[1], "n3": ones[2], "n4": ones[3],
             "pairs": [len(keys) if i == 0 else 0 for i in range(len(spans))],
@@ -240,9 +240,9 @@ def _merge_pairs(folder: str):
 TOTALS = "n1 bigint, n2 bigint, n3 bigint, n4 bigint, pairs bigint, m1 bigint, m2 bigint, m3 bigint, m4 bigint, more bigint"
 
 
-def _merge_stats(folder: str):
+def _merge_stats(folder: str, block: int):
     def run(table: pa.Table) -> pa.Table:
-        stats = np.zeros((RANGE, 5), np.int64)
+        stats = np.zeros((block, 5), np.int64)
         for ids, rows in zip(table["ids"].to_pylist(), table["rows"].to_pylist()):
             at = np.frombuffer(ids, "<u4")
             stats[at] += np.frombuffer(rows, f"<u{rows[0]}", offset=1).reshape(5, -1).T.astype(np.int64)
@@ -298,9 +298,12 @@ def train(docs: DataFrame, text: str = "text", chunk: int = 8_000_000, shard_key
         raise ValueError("word numbers of 32 bits are used up")
 
     model.pair_shards = _shards(size // 8, shard_keys)
+    # as many files of word statistics as shards of pairs: what one task merges stays the same as both grow
+    while model.block * model.pair_shards < model.words:
+        model.block *= 2
     sent = slim.mapInArrow(_count_pairs(model, chunk), SENT)
-    stats = sent.groupBy("shard").applyInArrow(_merge_pairs(model.folder), STATS)
-    totals = stats.groupBy("block").applyInArrow(_merge_stats(model.folder), TOTALS)
+    stats = sent.groupBy("shard").applyInArrow(_merge_pairs(model.folder, model.block), STATS)
+    totals = stats.groupBy("block").applyInArrow(_merge_stats(model.folder, model.block), TOTALS)
     t = totals.agg(*[F.sum(c).alias(c) for c in totals.columns]).first()
     model.pairs = t.pairs
     model.discounts = discounts(t.n1, t.n2, t.n3, t.n4)

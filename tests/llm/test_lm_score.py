@@ -81,7 +81,7 @@ def test_odd_rows(spark):
 
 def test_documents_in_many_chunks_and_shards(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    compare(df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], 40_000, shard_keys=2000)
+    compare(df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], 150_000, shard_keys=15_000)
 
 
 def test_packed_keys_round_trip():
