@@ -38,12 +38,13 @@ class Plain:
         self.d = lm_score.discounts(*(sum(c == k for c in self.pair.values()) for k in (1, 2, 3, 4)))
         self.d1 = lm_score.discounts(*(sum(c == k for c in self.cont.values()) for k in (1, 2, 3, 4)))
 
+        self.mass = sum(self.d1[min(c, 3) - 1] for c in self.cont.values()) / max(1, len(self.pair))
+
     def unigram(self, w):
         if not self.pair:
             return 1.0
-        mass = sum(self.d1[min(c, 3) - 1] for c in self.cont.values()) / len(self.pair)
         c = self.cont[w]
-        return (c - (self.d1[min(c, 3) - 1] if c else 0)) / len(self.pair) + mass / (self.v + 1)
+        return (c - (self.d1[min(c, 3) - 1] if c else 0)) / len(self.pair) + self.mass / (self.v + 1)
 
     def p(self, w, a):
         if not self.total[a]:
