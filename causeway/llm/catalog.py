@@ -7,8 +7,10 @@ from causeway.llm import (  # noqa: F401  (imported to register their queries)
     decontaminate,
     exact_dedup,
     language_id,
+    lexical_search,
     licenses,
     lm_score,
+    mixing,
     ngram_join,
     packing,
     pii,

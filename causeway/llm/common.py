@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.session import durable
@@ -184,6 +184,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(few, key).unionByName(rare)
 
 
+RANK_SALTS = 64
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each key in ``order``, numbered from 1 in an INT column ``name``.
+
+    A first cut per key and slice of the partitions keeps ``k`` rows each, so the task that ranks a hot
+    key reads at most ``k * RANK_SALTS`` rows of it.
+    """
+    cut = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    rows = df.withColumn("_salt", F.spark_partition_id() % RANK_SALTS).withColumn("_cut", F.row_number().over(cut)).filter(F.col("_cut") <= k)
+    rows = rows.drop("_salt", "_cut").withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows.filter(F.col(name) <= k)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v of BIGINT): one row (node, root) per node, root the smallest.
 
