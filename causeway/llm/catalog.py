@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from causeway.llm.common import ORACLES, QUERIES
 from causeway.llm import (  # noqa: F401  (imported to register their queries)
+    collocations,
     decontaminate,
     exact_dedup,
     language_id,

@@ -63,16 +63,16 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     slim = durable(slim)
     order = [F.col("source").asc_nulls_last(), F.asc("size"), F.asc("_tie"), F.col("doc_id").asc_nulls_last(), F.asc("_row")]
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    rows = durable(global_rank(slim, order, "_place").withColumn("_key", key))
+    rows = global_rank(slim, order, "_place").withColumn("_key", key)
     groups = rows.groupBy("_key", "source").agg(
         F.sum("size").alias("size"), F.count("*").alias("_n"), F.min("_place").alias("_lowest"))
     targets = source_targets(groups, max_repeats)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     start = _digits(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit(""))), 13).cast("double") / F.lit(float(2**52))
-    targets = durable(targets.select(
+    targets = targets.select(
         "_key", "_n", "_lowest", F.col("size").alias("source_size"), "target", start.alias("_start")
-    ).withColumn("_rate", rate))
-    found = join_groups(rows, targets, "_key", "_n", rows.count())
+    ).withColumn("_rate", rate)
+    found = join_groups(rows, targets, "_key", "_n", slim.count())
     place = F.col("_place") - F.col("_lowest")
     teeth = F.floor((place + 1) * F.col("_rate") + F.col("_start")) - F.floor(place * F.col("_rate") + F.col("_start"))
     found = found.withColumn("copies", teeth.cast("long"))
