@@ -170,7 +170,7 @@ def _longer(max_words: int):
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100,
-                  shard_bytes: int = 16_000_000) -> DataFrame:
+                  shard_bytes: int = 10_000_000) -> DataFrame:
     """All phrases of 2 to ``max_words`` words that occur ``min_count`` times in a language.
 
     One row per phrase: lang, n (words of the language), phrase, words, chain (numbers of its word
@@ -225,22 +225,28 @@ def maximal(phrases: DataFrame) -> DataFrame:
     return phrases.join(most, "chain", "left").filter("_more is null or _more < f").drop("_more")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 2000, **options) -> DataFrame:
-    """The ``top`` phrases of each language by their weakest cut: lang, rank, phrase, a, l, r, n, score.
-
-    ``score`` is floor(1000 a n / (l r)) at the cut where it is lowest, the first one if several tie.
-    """
-    wide = "cast({} as decimal(19, 0))"
-    scored = maximal(phrase_counts(docs, text, lang, **options)).withColumn("_cut", F.expr(
+def scored(phrases: DataFrame, top: int) -> DataFrame:
+    """The ``top`` phrases of each language by their lowest cut; of cuts that tie the first."""
+    wide = "cast({} as decimal(19, 0))"  # products of three counts fit 38 digits
+    cut = F.expr(
         "array_min(transform(sequence(1, size(firsts)), k -> struct("
         f"(cast(1000 as decimal(4, 0)) * ({wide.format('f')} * {wide.format('n')}))"
         f" div ({wide.format('element_at(firsts, k)')} * {wide.format('element_at(rests, k)')}) as score, k as k,"
-        " element_at(firsts, k) as l, element_at(rests, k) as r)))"))
-    rows = scored.select("lang", "phrase", F.col("f").alias("a"), "_cut.l", "_cut.r", "n", F.col("_cut.score").cast("long").alias("score"))
+        " element_at(firsts, k) as l, element_at(rests, k) as r)))")
+    rows = phrases.withColumn("_cut", cut).select(
+        "lang", "phrase", F.col("f").alias("a"), "_cut.l", "_cut.r", "n", F.col("_cut.score").cast("long").alias("score"))
     ranked = top_rows(rows, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "rank")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 2000, **options) -> DataFrame:
+    """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
+
+    ``score`` is floor(1000 a n / (l r)) at the cut where it is lowest.
+    """
+    return scored(maximal(phrase_counts(docs, text, lang, **options)), top)
+
+
 SQL = r"""
 WITH p AS (
   SELECT row_number() OVER () AS piece, * FROM (

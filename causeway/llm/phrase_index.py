@@ -13,16 +13,24 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     Ranks of 1, 2, 4, ... symbols are doubled; the last step takes only what is missing to ``depth``.
     Intervals of patterns up to ``depth`` symbols are the same as in a full suffix array.
     """
-    rank, known = text.astype(np.int64), 1
-    while known < depth:
+    rank, known = text.astype(np.int32), 1
+    while True:
         step = min(known, depth - known)
-        ahead = np.zeros(len(text), np.int64)  # past the end stands 0, which no symbol of a pattern is
-        ahead[:-step] = rank[step:] if len(text) > step else 0
-        # the first ``known`` symbols, then those from ``step`` on: together the first ``known + step``
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = rank.astype(np.int64)
+        if step:
+            # the first ``known`` symbols, then those from ``step`` on: together the first ``known + step``;
+            # past the end stands 0, which no symbol of a pattern is
+            key *= int(rank.max(initial=0)) + 1
+            key[:max(0, len(text) - step)] += rank[step:]
+        order = np.argsort(key, kind="stable")
+        if not step:
+            return order
+        key = key[order]
+        rank = np.empty(len(text), np.int32)
+        rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))) if len(key) else 0
         known += step
-    return np.argsort(rank, kind="stable")
+        if known == depth:
+            return order
 
 
 def transform(text: np.ndarray, depth: int) -> np.ndarray:
@@ -75,9 +83,8 @@ class BothWays:
     def _extend(self, side: int, low: np.ndarray, other: np.ndarray, size: np.ndarray):
         ends = np.cumsum(size)
         starts = ends - size
-        owner = np.repeat(np.arange(len(size)), size)
-        place = low[owner] + np.arange(len(owner)) - starts[owner]
-        key = owner * self.symbols + self.sides[side][place]
+        place = np.repeat(low - starts, size) + np.arange(ends[-1] if len(ends) else 0)
+        key = np.repeat(np.arange(len(size)) * self.symbols, size) + self.sides[side][place]
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
