@@ -35,7 +35,9 @@ from causeway.session import broadcast_if_small, durable
 BREAK = b"."
 PIECE_BYTES = bytes.maketrans(
     (UPPER + ".,;:!?\n\x0b\x0c\r\t").encode(), (LOWER + "." * 10 + " ").encode())
-SHARDS = "shard long, langs array<string>, words array<string>, counts array<bigint>, ids binary"
+SHARDS = "shard long, langs array<string>, lang_of binary, words binary, counts binary, ids binary"
+WORDS = "shard long, local int, lang string, word string, n long"
+ROWS_AT_ONCE = 20_000
 INDEXES = "shard long, forward binary, mirror binary, numbers binary"
 PAIRS = "shard long, at int, w1 long, w2 long, n long"
 
@@ -53,8 +55,8 @@ class Numbers(dict):
         return self.count[0]
 
 
-def word_numbers(texts: list[str | None], langs: list[str]) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Language and spelling of words 1, 2, ... and the numbers of all words in order, 0 between pieces."""
+def word_numbers(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray, list[bytes], np.ndarray]:
+    """Languages; language (its place there) and spelling of words 1, 2, ...; numbers of all words in order, 0 between pieces."""
     count = [0]
     tables: dict[str, Numbers] = defaultdict(lambda: Numbers(count))
     parts = []
@@ -62,29 +64,44 @@ def word_numbers(texts: list[str | None], langs: list[str]) -> tuple[list[str],
         words = (text or "").encode().translate(PIECE_BYTES).replace(BREAK, b" . ").split()
         words.append(BREAK)
         parts.append(np.fromiter(map(tables[lang].__getitem__, words), np.int32, len(words)))
-    names: list = [None] * (count[0] + 1)
-    for lang, table in tables.items():
-        for word, k in table.items():
-            names[k] = (lang, word)
-    return [x[0] for x in names[1:]], [x[1] for x in names[1:]], np.concatenate(parts or [np.zeros(0, np.int32)])
+    lang_of, names = np.zeros(count[0] + 1, np.int32), [b""] * (count[0] + 1)
+    for k, table in enumerate(tables.values()):
+        for word, number in table.items():
+            lang_of[number], names[number] = k, word
+    return list(tables), lang_of[1:], names[1:], np.concatenate(parts or [np.zeros(0, np.int32)])
 
 
 def _shards(shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for part in slices(batches, "text", shard_bytes):
-            langs, words, ids = word_numbers(part.column("text").to_pylist(), part.column("lang").to_pylist())
+            langs, lang_of, words, ids = word_numbers(part.column("text").to_pylist(), part.column("lang").to_pylist())
             counts = np.bincount(ids, minlength=len(words) + 1)[1:]
             shard += 1
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int64()), "langs": pa.array([langs], pa.list_(pa.string())),
-                "words": pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                "counts": pa.array([counts], pa.list_(pa.int64())), "ids": pa.array([ids.tobytes()], pa.binary()),
-            })
+            packed = [lang_of.tobytes(), BREAK.join(words), counts.astype(np.int64).tobytes(), ids.tobytes()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int64()), pa.array([langs], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in packed)],
+                ["shard", "langs", "lang_of", "words", "counts", "ids"])
 
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each shard as rows."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()
+            counts, lang_of = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["lang_of"], np.int32)
+            words, langs = row["words"].split(BREAK), pa.array(row["langs"], pa.string())
+            for a in range(0, len(counts), ROWS_AT_ONCE):
+                n = min(ROWS_AT_ONCE, len(counts) - a)
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array(np.full(n, row["shard"]), pa.int64()), "local": pa.array(np.arange(a + 1, a + n + 1), pa.int32()),
+                    "lang": langs.take(pa.array(lang_of[a:a + n])), "word": pa.array(words[a:a + n], pa.binary()).cast(pa.string()),
+                    "n": pa.array(counts[a:a + n], pa.int64()),
+                })
+
+
 def without_breaks_in_a_row(text: np.ndarray) -> np.ndarray:
     """``text`` with one 0 where several follow each other, none at the start and one at the end."""
     text = np.concatenate((text, [0]))
@@ -121,12 +138,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (row,) = batch.slice(k, 1).to_pylist()
             index, numbers = _opened(row)
             second, first, found = index.left(index.symbols_once())
-            n = len(first)
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array(np.full(n, row["shard"]), pa.int64()), "at": pa.array(np.arange(n), pa.int32()),
-                "w1": pa.array(numbers[first - 1], pa.int64()), "w2": pa.array(numbers[second], pa.int64()),
-                "n": pa.array(found.size, pa.int64()),
-            })
+            for a in range(0, len(first), ROWS_AT_ONCE):
+                w1, w2 = numbers[first[a:a + ROWS_AT_ONCE] - 1], numbers[second[a:a + ROWS_AT_ONCE]]
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array(np.full(len(w1), row["shard"]), pa.int64()),
+                    "at": pa.array(np.arange(a, a + len(w1)), pa.int32()), "w1": pa.array(w1, pa.int64()),
+                    "w2": pa.array(w2, pa.int64()), "n": pa.array(found.size[a:a + ROWS_AT_ONCE], pa.int64()),
+                })
 
 
 def longer_phrases(index: BothWays, at: np.ndarray, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,7 +188,7 @@ def _longer(max_words: int):
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100,
-                  shard_bytes: int = 10_000_000) -> DataFrame:
+                  shard_bytes: int = 8_000_000) -> DataFrame:
     """All phrases of 2 to ``max_words`` words that occur ``min_count`` times in a language.
 
     One row per phrase: lang, n (words of the language), phrase, words, chain (numbers of its word
@@ -178,8 +196,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     """
     slim = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     shards = durable(slim.mapInArrow(_shards(shard_bytes), SHARDS))
-    listed = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("k", "w")).select(
-        "shard", (F.col("k") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    listed = shards.drop("ids").mapInArrow(_listed, WORDS)
     totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
     words = durable(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
                     .withColumn("word_id", F.monotonically_increasing_id()))
