@@ -38,8 +38,7 @@ PIECE_BYTES = bytes.maketrans(
 SHARDS = "shard long, langs array<string>, lang_of binary, words binary, counts binary, ids binary"
 WORDS = "shard long, local int, lang string, word string, n long"
 ROWS_AT_ONCE = 20_000
-INDEXES = "shard long, forward binary, mirror binary, numbers binary"
-PAIRS = "shard long, at int, w1 long, w2 long, n long"
+INDEXES = "shard long, forward binary, mirror binary, at long, w1 long, w2 long, n long"
 
 
 class Numbers(dict):
@@ -110,43 +109,30 @@ def without_breaks_in_a_row(text: np.ndarray) -> np.ndarray:
 
 
 def _index(depth: int):
+    """Per shard: a first row with the index, then its word pairs."""
     def run(shard: pa.Table, words: pa.Table) -> pa.Table:
-        out = []
+        sides, columns = [], [np.zeros(0, np.int64)] * 4
         if shard.num_rows and words.num_rows:
             ids = np.frombuffer(shard["ids"][0].as_py(), np.int32)
             new = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
-            local = words["local"].to_numpy()
+            local, numbers = words["local"].to_numpy(), words["word_id"].to_numpy()
             new[local] = np.arange(1, len(local) + 1)
-            text = without_breaks_in_a_row(new[ids])
-            index = BothWays.of(text, depth)
-            out.append((shard["shard"][0].as_py(), *(s.astype(np.int32).tobytes() for s in index.sides),
-                        words["word_id"].to_numpy().astype(np.int64).tobytes()))
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "forward", "mirror", "numbers"])
+            index = BothWays.of(without_breaks_in_a_row(new[ids]), depth)
+            second, first, found = index.left(index.symbols_once())
+            sides = [s.astype(np.int32).tobytes() for s in index.sides]
+            columns = [np.arange(len(first)), numbers[first - 1], numbers[second], found.size]
+        n, one = len(columns[0]), bool(sides)
+        name = shard["shard"][0].as_py() if one else 0
+        parts = {"shard": pa.array(np.full(n + one, name), pa.int64())}
+        for k, c in enumerate(("forward", "mirror")):
+            parts[c] = pa.concat_arrays([pa.array(sides[k:k + 1], pa.binary()), pa.nulls(n, pa.binary())])
+        for c, values in zip(("at", "w1", "w2", "n"), columns):
+            parts[c] = pa.concat_arrays([pa.nulls(int(one), pa.int64()), pa.array(values, pa.int64())])
+        return pa.table(parts)
 
     return run
 
 
-def _opened(row: dict) -> tuple[BothWays, np.ndarray]:
-    return BothWays(*(np.frombuffer(row[c], np.int32) for c in ("forward", "mirror"))), np.frombuffer(row["numbers"], np.int64)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            (row,) = batch.slice(k, 1).to_pylist()
-            index, numbers = _opened(row)
-            second, first, found = index.left(index.symbols_once())
-            for a in range(0, len(first), ROWS_AT_ONCE):
-                w1, w2 = numbers[first[a:a + ROWS_AT_ONCE] - 1], numbers[second[a:a + ROWS_AT_ONCE]]
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(np.full(len(w1), row["shard"]), pa.int64()),
-                    "at": pa.array(np.arange(a, a + len(w1)), pa.int32()), "w1": pa.array(w1, pa.int64()),
-                    "w2": pa.array(w2, pa.int64()), "n": pa.array(found.size[a:a + ROWS_AT_ONCE], pa.int64()),
-                })
-
-
 def longer_phrases(index: BothWays, at: np.ndarray, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length from 3: chains of pair places in ``at`` and the count of each phrase.
 
@@ -172,9 +158,9 @@ def _longer(max_words: int):
     def run(shard: pa.Table, pairs: pa.Table) -> pa.Table:
         chains, counts = [], []
         if shard.num_rows and pairs.num_rows:
-            index, _ = _opened(shard.to_pylist()[0])
+            index = BothWays(*(np.frombuffer(shard[c][0].as_py(), np.int32) for c in ("forward", "mirror")))
             ids = pairs["pair_id"].to_numpy()
-            for chain, n in longer_phrases(index, pairs["at"].to_numpy().astype(np.int64), max_words):
+            for chain, n in longer_phrases(index, pairs["at"].to_numpy(), max_words):
                 values = pa.array(ids[chain].ravel(), pa.int64())
                 offsets = pa.array(np.arange(len(chain) + 1) * chain.shape[1], pa.int32())
                 chains.append(pa.ListArray.from_arrays(offsets, values))
@@ -201,8 +187,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     words = durable(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
                     .withColumn("word_id", F.monotonically_increasing_id()))
     own = listed.drop("n").join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "local", "word_id")
-    index = durable(shards.select("shard", "ids").groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(_index(max_words), INDEXES))
-    pairs = index.mapInArrow(_pairs, PAIRS)
+    built = durable(shards.select("shard", "ids").groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(_index(max_words), INDEXES))
+    index = built.filter("forward is not null").select("shard", "forward", "mirror")
+    pairs = built.filter("at is not null").select("shard", "at", "w1", "w2", "n")
     frequent = durable(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
                        .withColumn("pair_id", F.monotonically_increasing_id()))
     words = words.join(broadcast_if_small(totals), "lang")
