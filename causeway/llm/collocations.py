@@ -10,7 +10,8 @@
    so sums over shards need no texts and no hashes.
 4. Counts of all first and last parts come from joins of each length with the one below.
 
-Between the steps only distinct words or phrases per shard are shuffled, with their counts. A shard
+Between the steps only distinct words or phrases per shard are shuffled, with their counts; frequent
+words and pairs go back to the shards without a shuffle while their counted rows are few. A shard
 holds about ``shard_bytes`` of text; no step brings a language, a word or a phrase into one task.
 
 NULL texts are empty, a NULL language is ``und``, repeated rows count each, an empty table gives no rows.
@@ -174,7 +175,7 @@ def _longer(max_words: int):
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100,
-                  shard_bytes: int = 8_000_000) -> DataFrame:
+                  shard_bytes: int = 5_000_000) -> DataFrame:
     """All phrases of 2 to ``max_words`` words that occur ``min_count`` times in a language.
 
     One row per phrase: lang, n (words of the language), phrase, words, chain (numbers of its word
@@ -186,7 +187,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
     words = durable(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
                     .withColumn("word_id", F.monotonically_increasing_id()))
-    own = listed.drop("n").join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "local", "word_id")
+    own = listed.drop("n").join(broadcast_if_small(words), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "word_id")
     built = durable(shards.select("shard", "ids").groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(_index(max_words), INDEXES))
     index = built.filter("forward is not null").select("shard", "forward", "mirror")
     pairs = built.filter("at is not null").select("shard", "at", "w1", "w2", "n")
@@ -200,7 +201,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
         F.lit(2).alias("words"), "f", F.array("f1").alias("firsts"), F.array("f2").alias("rests")))
     out = level
     if max_words > 2:
-        here = pairs.join(frequent.drop("f"), ["w1", "w2"]).select(F.col("shard").alias("of"), "at", "pair_id")
+        here = pairs.join(broadcast_if_small(frequent.drop("f")), ["w1", "w2"]).select(F.col("shard").alias("of"), "at", "pair_id")
         longer = index.groupBy("shard").cogroup(here.groupBy("of")).applyInArrow(_longer(max_words), "chain array<bigint>, n long")
         longer = durable(longer.groupBy("chain").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
     for length in range(3, max_words + 1):
