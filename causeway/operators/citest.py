@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from causeway.functions.mathx import chi2_tail
+from causeway.operators import cube
 from causeway.operators.counts import Family, family_counts
 from causeway.operators.encode import Encoded
 from causeway.session import broadcast_if_small, collect_bounded, durable, local_frame
 
-# Families counted together in one scan.
-BATCH = 2000
-
-
 class Test(NamedTuple):
     """Is x independent of y given s? x < y by name, s sorted."""
 
@@ -56,8 +53,14 @@ def chi2_statistics(cells: DataFrame) -> DataFrame:
     )
 
 
+def cube_tests(encoded: Encoded, tests: Sequence[Test]) -> DataFrame:
+    """(test_id, stat, dof, p) of any number of tests from one scan of the table: see ``cube``."""
+    counted = cube.build(encoded, {tuple(sorted({t.x, t.y, *t.s})) for t in tests})
+    return cube.test_statistics(counted, tests, encoded.cards).withColumn("p", chi2_p("stat", F.col("dof").cast("double")))
+
+
 def ci_tests(encoded: Encoded, tests: Sequence[Test]) -> DataFrame:
-    """(test_id, stat, dof, p) of all tests, counted in one pass over the table."""
+    """(test_id, stat, dof, p) of some tests, each counted on its own in one pass over the table."""
     cards = encoded.cards
     families = [Family(i, t.y, (*t.s, t.x)) for i, t in enumerate(tests)]
     shape = local_frame(
@@ -110,7 +113,7 @@ def skeleton(encoded: Encoded, alpha: float, borderline: float = 0.0,
              advisor=None, union_sets: bool = True) -> Skeleton:
     """Start complete; at each depth run every test, remove separated pairs at its end.
 
-    All tests of a depth are one counting job (in batches). ``advisor`` maps a frame of
+    All tests of a depth come from one scan of the table. ``advisor`` maps a frame of
     borderline tests (test_id, x, y, s) to (test_id, score). With ``union_sets`` all sets
     that separate a pair are united, otherwise the one with the largest p is kept.
     """
@@ -122,26 +125,24 @@ def skeleton(encoded: Encoded, alpha: float, borderline: float = 0.0,
     while max(map(len, adj.values()), default=0) > depth:
         tests = level_tests(adj, depth)
         gone: dict[tuple[str, str], list[tuple[float, tuple[str, ...]]]] = {}
-        for start in range(0, len(tests), BATCH):
-            batch = tests[start:start + BATCH]
-            result = ci_tests(encoded, batch)
-            scores = None
-            if advisor is not None and borderline > 0:
-                result = durable(result)
-                asked = local_frame(spark, [(i, *t[:2], list(t.s)) for i, t in enumerate(batch)],
-                                    "test_id int, x string, y string, s array<string>")
-                near = result.where(is_borderline(F.col("p"), alpha, borderline)).select("test_id")
-                scores = advisor(asked.join(near, "test_id", "left_semi"))
-            if scores is not None:
-                result = result.join(scores, "test_id", "left")
-            else:
-                result = result.withColumn("score", F.lit(None).cast("double"))
-            verdict = decide(F.col("p"), alpha, borderline, F.col("score"))
-            for row in collect_bounded(
-                result.where(verdict == "independent").select("test_id", "p"), "separations"
-            ):
-                t = batch[row["test_id"]]
-                gone.setdefault((t.x, t.y), []).append((row["p"], t.s))
+        result = cube_tests(encoded, tests)
+        scores = None
+        if advisor is not None and borderline > 0:
+            result = durable(result)
+            asked = local_frame(spark, [(i, *t[:2], list(t.s)) for i, t in enumerate(tests)],
+                                "test_id int, x string, y string, s array<string>")
+            near = result.where(is_borderline(F.col("p"), alpha, borderline)).select("test_id")
+            scores = advisor(asked.join(near, "test_id", "left_semi"))
+        if scores is not None:
+            result = result.join(scores, "test_id", "left")
+        else:
+            result = result.withColumn("score", F.lit(None).cast("double"))
+        verdict = decide(F.col("p"), alpha, borderline, F.col("score"))
+        for row in collect_bounded(
+            result.where(verdict == "independent").select("test_id", "p"), "separations"
+        ):
+            t = tests[row["test_id"]]
+            gone.setdefault((t.x, t.y), []).append((row["p"], t.s))
         for pair, sets in gone.items():
             if union_sets:
                 sepsets[pair] = tuple(sorted({v for _, s in sets for v in s}))

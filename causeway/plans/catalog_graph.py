@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions.mathx import chi2_tail
-from causeway.operators import assemble, citest, encode, graph, votes
+from causeway.operators import assemble, citest, cube, encode, graph, votes
 from causeway.operators.encode import adjacency as adjacency_of
 from causeway.plans import trade
 from causeway.plans import workloads as w
 from causeway.plans.registry import query
-from causeway.session import durable
+from causeway.session import broadcast_if_small, durable, local_frame
 
 DAG, CYCLIC = trade.DAG_SQL, trade.CYCLIC_SQL
 CLOSURE = """reach AS (SELECT parent AS node, child AS descendant FROM dag
@@ -252,6 +252,66 @@ def chi2_tests(spark, sf):
     return citest.ci_tests(coded, CI_TESTS).select("test_id", F.round("stat", 5).alias("stat"), "dof")
 
 
+def _cube_sql() -> str:
+    """All tests given up to two of the other columns, from counts of one to four columns."""
+    k = len(w.STAR_COLUMNS)
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {c})" for c in sorted(w.STAR_COLUMNS))
+    name = "[" + ", ".join(f"'{c}'" for c in sorted(w.STAR_COLUMNS)) + "]"
+    used = "abcd"
+
+    def counted(n: int) -> str:
+        v = used[:n]
+        sets = ", ".join(f"unnest(range(1, {k + 1})) AS t{c}({c})" for c in v)
+        order = " AND ".join(f"{p} < {q}" for p, q in zip(v, v[1:])) or "TRUE"
+        keys = ", ".join(f"{c}, v[{c}] AS c{c}" for c in v)
+        return f"n{n} AS (SELECT {keys}, count(*) AS n FROM coded, (SELECT * FROM {sets} WHERE {order}) q GROUP BY ALL)"
+
+    def part(x: str, y: str, s: str) -> str:
+        given = "".join(f", {v} AS {t}, c{v} AS c{t}" for v, t in zip(s, "st"))
+        return f"SELECT {x} AS x, {y} AS y, c{x} AS cx, c{y} AS cy{given}, n FROM n{2 + len(s)}"
+
+    def margin(x: str, s: str) -> str:
+        given = "".join(f", {v} AS {t}, c{v} AS c{t}" for v, t in zip(s, "st"))
+        return f"SELECT {x} AS x, c{x} AS cx{given}, n FROM n{1 + len(s)}"
+
+    out = [counted(n) for n in (1, 2, 3, 4)]
+    for d in (0, 1, 2):
+        size, given = d + 2, "st"[:d]
+        pairs = [(x, y) for i, x in enumerate(used[:size]) for y in used[i + 1:size]]
+        out.append(f"x{d} AS (" + " UNION ALL ".join(
+            part(x, y, "".join(v for v in used[:size] if v not in (x, y))) for x, y in pairs) + ")")
+        out.append(f"m{d} AS (" + " UNION ALL ".join(
+            margin(x, "".join(v for v in used[:size - 1] if v != x)) for x in used[:size - 1]) + ")")
+        keys = [v for t in given for v in (t, f"c{t}")]
+        group = ", ".join(["x", *keys])
+        out.append(f"r{d} AS (SELECT {group}, count(*) AS r, sum(n) AS nt FROM m{d} GROUP BY {group})")
+        same = lambda a, b: "".join(f" AND {a}.{v} = {b}.{v}" for v in keys)
+        names = "".join(f", {t}" for t in given)
+        out.append(f"""s{d} AS (SELECT e.x, e.y{''.join(f", e.{t}" for t in given)}, sum(e.n * e.n / (p.n * q.n / rx.nt)) AS ratio FROM x{d} e
+  JOIN m{d} p ON p.x = e.x AND p.cx = e.cx{same('p', 'e')} JOIN m{d} q ON q.x = e.y AND q.cx = e.cy{same('q', 'e')}
+  JOIN r{d} rx ON rx.x = e.x{same('rx', 'e')} GROUP BY ALL)""")
+        out.append(f"""f{d} AS (SELECT a.x, b.x AS y{''.join(f", a.{t}" for t in given)}, sum((a.r - 1) * (b.r - 1)) AS dof FROM r{d} a
+  JOIN r{d} b ON a.x < b.x{same('a', 'b')} GROUP BY ALL)""")
+        label = f"concat_ws(',', {', '.join(f'names[{t}]' for t in given)})" if d else "''"
+        using = f"x, y{names}"
+        out.append(f"""d{d} AS (SELECT names[x] AS x, names[y] AS y, {label} AS given,
+  round(ratio - (SELECT count(*) FROM coded), 2) AS stat, CAST(dof AS BIGINT) AS dof
+  FROM s{d} JOIN f{d} USING ({using}), (SELECT {name} AS names))""")
+    return f"WITH star AS ({w.STAR_SQL}), coded AS (SELECT [{codes}]::SMALLINT[] AS v FROM star), " + ", ".join(out) + \
+        " SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2"
+
+
+@query("chi2_cube", _cube_sql())
+def chi2_cube(spark, sf):
+    """Every pair of the fifteen columns given none, one or two others: one scan, all else from cells."""
+    coded = encode.encode_table(w.star(spark, sf), w.STAR_COLUMNS)
+    tests = cube.all_tests(w.STAR_COLUMNS, 2)
+    names = local_frame(spark, [(i, t.x, t.y, ",".join(t.s)) for i, t in enumerate(tests)],
+                        "test_id int, x string, y string, given string")
+    stats = citest.cube_tests(coded, tests).drop("p")
+    return stats.join(broadcast_if_small(names), "test_id").select("x", "y", "given", F.round("stat", 2).alias("stat"), "dof")
+
+
 def _critical(dof: int, alpha: float = 0.001) -> float:
     """Statistic whose tail probability is alpha."""
     lo, hi = 0.0, 1000.0
