@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.session import BROADCAST_ROWS, collect_bounded, durable, local_frame, spread
+from causeway.operators.ranks import global_rank
+from causeway.session import BROADCAST_ROWS, broadcast_if_small, collect_bounded, durable, is_scan, local_frame, spread
 
 MAX_STATES = 100_000
 INLINE_STATES = 64
@@ -48,18 +49,33 @@ def state_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def codebook(df: DataFrame, columns: Sequence[str], max_states: int = MAX_STATES) -> DataFrame:
-    """(var, state, n, code): codes count from 0 in lexicographic order of the states.
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(var, state, n, code BIGINT): codes count from 0 in the order of a column's states.
 
-    The ranking window holds one variable's states, so their number is checked first.
+    Codes are ranks over range-partitioned slices, so a column may have as many states as rows.
     """
-    counts = durable(state_counts(df, columns))
-    sizes = counts.groupBy("var").agg(F.count("*").alias("r")).where(F.col("r") > max_states)
-    wide = [r["var"] for r in collect_bounded(sizes, "oversized variables")]
-    if wide:
-        raise ValueError(f"more than {max_states} states in {sorted(wide)}")
-    order = Window.partitionBy("var").orderBy("state")
-    return counts.withColumn("code", F.row_number().over(order) - 1)
+    return global_rank(durable(state_counts(df, columns)), [F.asc("state")], "code", group="var")
+
+
+def codebook(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(var, state, n, code INT): see ``dictionary``."""
+    return dictionary(df, columns).withColumn("code", F.col("code").cast("int"))
+
+
+def encode_wide(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and the BIGINT codes of ``columns``, whatever the number of states; no state reaches the driver.
+
+    A column's states are joined by a broadcast while they are counted to be few, else by a shuffle on the
+    state that splits hot ones.
+    """
+    text = as_text(df.select(*keep, *columns), columns)
+    text = text if is_scan(df) else durable(text)
+    book = durable(dictionary(text, columns).drop("n"))
+    out = text
+    for c in columns:
+        own = book.where(F.col("var") == c).select(F.col("state").alias(c), F.col("code").alias(f"{c}__code"))
+        out = out.join(broadcast_if_small(own), c)
+    return out.select(*keep, *[F.col(f"{c}__code").alias(c) for c in columns])
 
 
 def cardinalities(book: DataFrame) -> DataFrame:
@@ -95,13 +111,15 @@ def encode_table(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
                  max_states: int = MAX_STATES, pin: bool = True) -> Encoded:
     """Replace the states of ``columns`` by their codes, keeping the ``keep`` columns.
 
-    One aggregate over the source finds the states, a second pass writes the codes; no copy of
-    the text is kept. Codes are looked up with one join per column. The state lists are broadcast
-    when their counted size allows it and joined by shuffle otherwise. The result is written once,
-    because searches read it many times.
+    One aggregate over the source finds the states, a second pass writes the codes; a source that is
+    more than a scan of files is written first, so its joins run once. Codes are looked up with one
+    join per column. The state lists are broadcast when their counted size allows it and joined by
+    shuffle otherwise. The result is written once, because searches read it many times. The states of
+    all columns stand on the driver; ``encode_wide`` does without.
     """
     columns = list(columns)
     out = spread(as_text(df.select(*keep, *columns), columns))
+    out = out if is_scan(df) else durable(out)
     found = collect_bounded(
         state_counts(out, columns).select("var", "state"), "states", max_states * len(columns)
     )
@@ -159,8 +177,8 @@ def first_seen_codes(df: DataFrame, row_id: str, columns: Sequence[str]) -> Data
         .groupBy("var", "state")
         .agg(F.min(row_id).alias("first_row"))
     )
-    order = Window.partitionBy("var").orderBy("first_row")
-    return first.withColumn("code", F.row_number().over(order) - 1)
+    ranked = global_rank(first, [F.asc("first_row"), F.asc("state")], "code", group="var")
+    return ranked.withColumn("code", F.col("code").cast("int"))
 
 
 def evidence(context: Column, nodes: Sequence[str] | Column, target: Column) -> Column:

@@ -36,6 +36,74 @@ def reachable(pairs: DataFrame, dag: DataFrame) -> DataFrame:
     )
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Edges left after trimming: nodes without a way in or a way out lie on no cycle."""
+    size = edges.count()
+    while True:
+        entered = edges.select(F.col("child").alias("parent")).distinct()
+        left = edges.select(F.col("parent").alias("child")).distinct()
+        edges = durable(edges.join(entered, "parent", "left_semi").join(left, "child", "left_semi").select("parent", "child"))
+        kept = edges.count()
+        if kept == size:
+            return edges
+        size = kept
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): strongly connected components, named by their smallest node.
+
+    Rounds of trimming and colouring. Each node takes the largest name that reaches it; a node that keeps
+    its own name is the root of a component, which is what leads back to it within its colour. Edges
+    between colours, and settled nodes, leave the next round. Every round is written, so lineage stays
+    short; only counts come to the driver.
+    """
+    edges = durable(edges.select("parent", "child").distinct())
+    every = edges.select(F.explode(F.array("parent", "child")).alias("node"))
+    if nodes is not None:
+        every = every.unionByName(nodes.select("node"))
+    every = durable(every.distinct())
+    live = _unsettled(edges.where(F.col("parent") != F.col("child")))
+    found: DataFrame | None = None
+    while not live.isEmpty():
+        colour = durable(live.select(F.explode(F.array("parent", "child")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            passed = live.join(colour.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "colour")
+            grown = passed.groupBy("node").agg(F.max("colour").alias("heard"))
+            new = durable(colour.join(grown, "node", "left").select(
+                "node", F.greatest("colour", "heard").alias("colour"), (F.col("heard") > F.col("colour")).alias("moved")))
+            colour = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        ends = colour.withColumnsRenamed({"node": "parent", "colour": "p_colour"})
+        own = live.join(ends, "parent").join(colour.withColumnRenamed("node", "child"), "child").where(F.col("p_colour") == F.col("colour"))
+        own = durable(own.select("parent", "child", "colour"))
+        settled = durable(colour.where(F.col("node") == F.col("colour")))
+        frontier = settled
+        while not frontier.isEmpty():
+            back = own.join(frontier.select(F.col("node").alias("child")), "child").select(F.col("parent").alias("node"), "colour").distinct()
+            frontier = durable(back.join(settled, ["node", "colour"], "left_anti"))
+            settled = durable(settled.unionByName(frontier))
+        found = settled if found is None else durable(found.unionByName(settled))
+        gone = settled.select("node")
+        rest = own.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(
+            gone.withColumnRenamed("node", "child"), "child", "left_anti")
+        live = _unsettled(durable(rest.select("parent", "child")))
+    if found is None:
+        return every.select("node", F.col("node").alias("component"))
+    names = found.groupBy("colour").agg(F.min("node").alias("component"))
+    found = found.join(names, "colour").select("node", "component")
+    return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """(parent, child): the edges that lie on a directed cycle, loops left out."""
+    steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
+    inside = durable(strong_components(steps))
+    ends = inside.select(F.col("node").alias("parent"), F.col("component").alias("_from"))
+    return steps.join(ends, "parent").join(inside.select(F.col("node").alias("child"), "component"), "child").where(
+        F.col("_from") == F.col("component")).select("parent", "child")
+
+
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without any edge."""
     touched = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
@@ -95,7 +163,7 @@ def simple_paths(pairs: DataFrame, dag: DataFrame) -> DataFrame:
 
 def simple_cycles(edges: DataFrame) -> DataFrame:
     """(cycle): all simple directed cycles of length >= 2, starting at their smallest node."""
-    steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
+    steps = durable(cyclic_edges(edges))
     frontier = durable(
         steps.where(F.col("parent") < F.col("child")).select(F.array("parent", "child").alias("path"))
     )
@@ -118,9 +186,9 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
     """(cycle): for each edge on a cycle its shortest one, starting at the smallest node, without repeats.
 
     A breadth-first walk from every edge keeps one path per node reached, so the work is bounded by
-    edges times nodes, and every edge on any cycle is covered.
+    edges times nodes of strongly connected components, and every edge on any cycle is covered.
     """
-    steps = durable(edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct())
+    steps = durable(cyclic_edges(edges))
     frontier = durable(steps.select(
         F.col("parent").alias("root"), F.col("child").alias("node"), F.array("parent", "child").alias("path"),
         F.concat_ws("\u0001", "parent", "child").alias("edge"),

@@ -9,6 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.clique_tree import OPEN, Tree
 from causeway.operators.encode import evidence
 from causeway.plans.network import Network, Scope
 from causeway.session import collect_bounded, durable
@@ -69,8 +70,7 @@ def _eliminate(cases: DataFrame, used: set[str], target: str, scope: Scope,
 
     Bucket elimination: each variable in turn multiplies every factor that mentions it and
     is summed out. All evidence patterns share the plan, because an observed variable is
-    simply one with a single allowed state. Every join and sum is keyed by ``ev_key``, so
-    rows are partitioned once.
+    simply one with a single allowed state. Every join and sum has ``ev_key`` among its keys.
     """
     parents = scope.parents
     relevant = _ancestors(parents, {target} | (used & parents.keys()))
@@ -119,6 +119,18 @@ def _eliminate(cases: DataFrame, used: set[str], target: str, scope: Scope,
     return frame.select("ev_key", F.col(f"v_{target}").alias("state"), "w")
 
 
+def _by_tree(cases: DataFrame, network: Network) -> DataFrame:
+    """(target, ev_key, state, w) of all targets from one clique tree over the whole graph."""
+    spark, nodes = cases.sparkSession, sorted(network.nodes)
+    tree = Tree(spark, network.parents, network.states, network.rows.select("node", "key", "p"))
+    place = [F.coalesce(F.array_position(F.array(*[F.lit(s) for s in network.states[v]]), F.col("ev")[v]) - 1, F.lit(OPEN)).cast("int")
+             for v in nodes]
+    evidence_cases = durable(cases.groupBy("ev_key").agg(F.first("ev").alias("ev")).select("ev_key", F.array(*place).alias("obs")))
+    found = tree.posteriors(evidence_cases, cases.select("target", "ev_key"))
+    catalogue = F.create_map(*[x for n in nodes for x in (F.lit(n), F.array(*[F.lit(s) for s in network.states[n]]))])
+    return found.select("target", "ev_key", F.get(catalogue[F.col("target")], F.col("state")).alias("state"), "w")
+
+
 def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") -> DataFrame:
     """(query_id, target, dist) for queries (query_id, target, context map).
 
@@ -128,7 +140,6 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
     """
     network.require_parameters()
     spark = queries.sparkSession
-    parts = []
     members = F.create_map(*[
         x for n in network.nodes
         for x in (F.lit(n), F.array(*[F.lit(m) for m in sorted(network.members(n))]))
@@ -139,6 +150,14 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
     )
     keyed = durable(keyed.select(id_col, "target", "ev", "ev_key"))
     cases = durable(keyed.groupBy("target", "ev_key").agg(F.first("ev").alias("ev")))
+    catalogue = F.create_map(*[
+        x for n in network.nodes
+        for x in (F.lit(n), F.array(*[F.lit(s) for s in network.states[n]]))
+    ])
+    known = F.forall(
+        F.map_entries("ev"), lambda e: F.array_contains(F.element_at(catalogue, e["key"]), e["value"])
+    )
+    answerable = cases.where(known)
     used = {
         r["target"]: set(r["names"] or [])
         for r in collect_bounded(
@@ -147,19 +166,14 @@ def posterior(queries: DataFrame, network: Network, id_col: str = "query_id") ->
             "evidence names",
         )
     }
-    catalogue = F.create_map(*[
-        x for n in network.nodes
-        for x in (F.lit(n), F.array(*[F.lit(s) for s in network.states[n]]))
-    ])
-    known = F.forall(
-        F.map_entries("ev"), lambda e: F.array_contains(F.element_at(catalogue, e["key"]), e["value"])
-    )
-    for target in sorted(used):
-        mine = cases.where((F.col("target") == target) & known)
-        parts.append(
-            _eliminate(mine, used[target], target, network.scope(target), network.states)
+    if network.local is None and len(used) > 1:
+        parts = [_by_tree(answerable, network)]
+    else:  # a single target, or a graph of its own for each
+        parts = [
+            _eliminate(answerable.where(F.col("target") == target), used[target], target, network.scope(target), network.states)
             .withColumn("target", F.lit(target))
-        )
+            for target in sorted(used)
+        ]
     lost = queries.where(~F.col("target").isin(list(network.nodes)) | F.col("target").isNull()).select(
         id_col, "target", F.lit(None).cast("map<string,double>").alias("dist")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.mathx import bernoulli_entropy
+from causeway.operators.ranks import global_rank
 
 DENSE_VARIABLES = 2048
 
@@ -134,8 +135,8 @@ def parent_appearance(votes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_order(appearance: DataFrame) -> DataFrame:
     """Add ``position``: frequent parents first, then by name (one row per variable)."""
-    order = Window.orderBy(F.desc("total"), "node")
-    return appearance.withColumn("position", F.row_number().over(order))
+    ranked = global_rank(appearance, [F.desc("total"), F.asc("node")], "position")
+    return ranked.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 def uncertain_edges(votes: DataFrame, cooc: DataFrame, threshold: float,
@@ -154,7 +155,9 @@ def uncertain_edges(votes: DataFrame, cooc: DataFrame, threshold: float,
     top = rated.withColumn("top", F.max("entropy").over(by_child)).withColumn(
         "edge_rank", F.row_number().over(by_child.orderBy(F.desc("entropy"), "parent"))
     )
-    return top.withColumn("node_rank", F.dense_rank().over(Window.orderBy(F.desc("top"), "child")))
+    nodes = rated.groupBy("child").agg(F.max("entropy").alias("_top"))
+    nodes = global_rank(nodes, [F.desc("_top"), F.asc("child")], "_rank")
+    return top.join(nodes.select("child", (F.col("_rank") + 1).cast("int").alias("node_rank")), "child")
 
 
 def trigger_entropy(uncertain: DataFrame) -> DataFrame:
@@ -232,9 +235,8 @@ def near_miss(ranked: DataFrame, dag: DataFrame, cooc: DataFrame) -> DataFrame:
     rated = with_support(missed.select("child", "parent", "n"), cooc).withColumn(
         "support", F.coalesce("freq", F.lit(0.0))
     )
-    return rated.withColumn(
-        "position", F.row_number().over(Window.orderBy(F.desc("support"), "parent", "child"))
-    ).drop("freq")
+    placed = global_rank(rated.drop("freq"), [F.desc("support"), F.asc("parent"), F.asc("child")], "position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 def support_text(n: Column, cooc: Column) -> Column:

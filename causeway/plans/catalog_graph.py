@@ -61,6 +61,25 @@ def simple_paths(spark, sf):
     return out.select("start", "end", F.array_join("path", ">").alias("path"), "path_ord")
 
 
+QUARTER = 91  # days
+
+
+@query("strong_components", f"""WITH RECURSIVE {trade.LINES_SQL},
+q AS (SELECT sample_id // {QUARTER} AS run, s, c, sum(n) AS n FROM lines GROUP BY ALL),
+e AS (SELECT a.run, a.run || '/' || a.s AS parent, a.run || '/' || a.c AS child FROM q a
+  LEFT JOIN q b ON a.run = b.run AND a.s = b.c AND a.c = b.s WHERE a.s <> a.c AND a.n > coalesce(b.n, 0)),
+nodes AS (SELECT parent AS node FROM e UNION SELECT child FROM e),
+reach AS (SELECT parent AS node, child AS far FROM e UNION SELECT r.node, e.child FROM reach r JOIN e ON r.far = e.parent)
+SELECT node, least(node, coalesce((SELECT min(a.far) FROM reach a JOIN reach b ON a.far = b.node AND b.far = a.node
+  WHERE a.node = nodes.node), node)) AS component FROM nodes""")
+def strong_components(spark, sf):
+    """Components of the net flows between nations in every quarter; each quarter is a graph of its own."""
+    lines = trade.daily_lines(spark, sf).withColumn("sample_id", F.floor(F.col("sample_id") / QUARTER).cast("string"))
+    quarters = durable(lines.groupBy("sample_id", "s", "c").agg(F.sum("n").alias("n")))
+    named = trade.vote_log(quarters).select(*[F.concat_ws("/", "sample_id", c).alias(c) for c in ("parent", "child")])
+    return graph.strong_components(named)
+
+
 @query("simple_cycles", f"""{CYCLIC}, walk AS (SELECT [parent, child] AS path FROM dag WHERE parent < child
   UNION ALL SELECT list_append(path, d.child) FROM walk JOIN dag d ON path[-1] = d.parent
   WHERE d.child > path[1] AND NOT list_contains(path, d.child)),

@@ -95,6 +95,57 @@ def posterior_all_targets(spark, sf):
     return _rounded(inference.posterior(asked, _network(spark, sf)))
 
 
+# All fifteen columns: four parts without a path between them, the first with undirected cycles.
+WIDE = {
+    "years": (["orderyear", "shipyear", "late", "linestatus", "orderstatus", "returnflag"], [
+        ("orderyear", "shipyear"), ("orderyear", "late"), ("shipyear", "late"), ("late", "linestatus"), ("shipyear", "linestatus"),
+        ("linestatus", "returnflag"), ("linestatus", "orderstatus"), ("orderyear", "orderstatus")]),
+    "goods": (["ptype", "brand", "unitprice", "quantity", "price"], [
+        ("ptype", "brand"), ("brand", "unitprice"), ("unitprice", "price"), ("quantity", "price")]),
+    "terms": (["discount", "tax"], [("discount", "tax")]),
+    "buyer": (["priority", "segment"], [("priority", "segment")]),
+}
+SEEN = {"years": "shipyear", "goods": "price"}
+
+
+def _wide_sql() -> str:
+    ctes, out = [], []
+    for part, (nodes, edges) in WIDE.items():
+        parents = {v: sorted(p for p, c in edges if c == v) for v in nodes}
+        ctes += [_cpt_cte(v, parents[v], f"w_{v}") for v in nodes]
+        done: list[str] = []
+        joins = ""
+        for v in nodes:  # parents come before children
+            using = f" USING ({', '.join(parents[v])})" if parents[v] else ""
+            joins += f" JOIN w_{v}{using}" if parents[v] else (f" CROSS JOIN w_{v}" if done else f"w_{v}")
+            done.append(v)
+        ctes.append(f"j_{part} AS (SELECT {', '.join(nodes)}, {' * '.join(f'w_{v}.p' for v in nodes)} AS p FROM {joins})")
+        seen = SEEN.get(part)
+        for v in nodes:
+            if seen is None or seen == v:
+                ctes.append(f"m_{v} AS (SELECT {v} AS state, sum(p) AS p FROM j_{part} GROUP BY {v})")
+                ctes.append(f"q_{v} AS (SELECT shipyear, price, state, p FROM asked, m_{v})")
+            else:
+                ctes.append(f"m_{v} AS (SELECT {seen}, {v} AS state, sum(p) AS p FROM j_{part} GROUP BY ALL)")
+                ctes.append(f"q_{v} AS (SELECT asked.shipyear, asked.price, state, p FROM asked JOIN m_{v} USING ({seen}))")
+            out.append(f"SELECT shipyear || '/' || price || '/{v}' AS query_id, '{v}' AS target, state,"
+                       f" round(p / sum(p) OVER (PARTITION BY shipyear, price), 7) AS p FROM q_{v}")
+    return f"{STAR}, asked AS (SELECT DISTINCT shipyear, price FROM star), {', '.join(ctes)} " + " UNION ALL ".join(out)
+
+
+@query("posterior_all_nodes", _wide_sql())
+def posterior_all_nodes(spark, sf):
+    """Every node of a network over all columns, given ship year and price of every pair that occurs."""
+    star = durable(w.star(spark, sf))
+    net = fit_global(star, w.STAR_COLUMNS, [e for _, edges in WIDE.values() for e in edges])
+    pairs = star.select("shipyear", "price").distinct()
+    asked = pairs.select("shipyear", "price", F.explode(F.array(*[F.lit(v) for v in w.STAR_COLUMNS])).alias("target"))
+    asked = asked.select(
+        F.concat_ws("/", "shipyear", "price", "target").alias("query_id"), "target",
+        F.create_map(F.lit("shipyear"), F.col("shipyear"), F.lit("price"), F.col("price")).alias("context"))
+    return _rounded(inference.posterior(asked, net))
+
+
 @query("blanket_posterior", f"""{STAR}, {_cpt_cte('late', [], 'g1')}, {_cpt_cte('linestatus', ['late'], 'g2')},
 {_cpt_cte('returnflag', ['linestatus'], 'g3')},
 m AS (SELECT linestatus, late, returnflag, g1.p * g2.p * g3.p AS p FROM g1 JOIN g2 USING (late) JOIN g3 USING (linestatus)),

@@ -69,6 +69,31 @@ def codebook(spark, sf):
     return encode.codebook(w.star(spark, sf), w.STAR_COLUMNS)
 
 
+@query("codebook_wide", """
+SELECT 'o_orderkey' AS var, CAST(o_orderkey AS VARCHAR) AS state, count(*) AS n,
+       dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS code
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey
+UNION ALL SELECT 'p_name', p_name, count(*), dense_rank() OVER (ORDER BY p_name) - 1
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name""")
+def codebook_wide(spark, sf):
+    """States that grow with the rows: order keys and part names of all line items."""
+    lines = w.table(spark, sf, "lineitem").select("l_partkey", F.col("l_orderkey").alias("o_orderkey"))
+    parts = w.table(spark, sf, "part").select("p_partkey", "p_name")
+    return encode.dictionary(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), ["o_orderkey", "p_name"])
+
+
+@query("encoded_wide", """
+SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS order_code,
+       dense_rank() OVER (ORDER BY p_name) - 1 AS name_code
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def encoded_wide(spark, sf):
+    """Codes of both columns beside every line item."""
+    parts = w.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name_code"))
+    lines = w.table(spark, sf, "lineitem").withColumn("order_code", F.col("l_orderkey"))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return encode.encode_wide(rows, ["order_code", "name_code"], ["l_orderkey", "l_linenumber"])
+
+
 @query("encoded_rows", f"""{STAR}, coded AS (SELECT
   {', '.join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in CUBE)} FROM star)
 SELECT {', '.join(CUBE)}, count(*) AS n FROM coded GROUP BY ALL""")

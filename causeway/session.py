@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,15 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Do the rows come straight from files, so that reading them twice is cheap?"""
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index")).schema
+        return True
+    except PySparkException:
+        return False
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a table that comes in fewer files than there are cores.
 
