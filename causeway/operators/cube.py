@@ -206,6 +206,25 @@ def family_cells(cube: Cube, families: Sequence[Family], cards: dict[str, int])
     return out.unionByName(_by_expression(cube, large)) if large else out
 
 
+def occupied(cube: Cube, asked: Sequence[tuple[str, ...]], cards: dict[str, int]) -> DataFrame:
+    """(family_id, cells): how many combinations of states occur in each asked set, numbered by its place."""
+    families = [Family(i, s[-1], s[:-1]) for i, s in enumerate(asked)]
+    by_set: dict[int, list[Projection]] = {}
+    for p in projections(families, cube.chosen, cards):
+        by_set.setdefault(p.set_id, []).append(p)
+    large = [p for k, ps in by_set.items() if k not in cube.few for p in ps]
+    ours = {k: ps for k, ps in by_set.items() if k in cube.few}
+
+    def count(group: pa.Table) -> pa.Table:
+        cell = group["cell"].to_numpy()
+        rows = [(p.family_id, len(np.unique(project(cell, p)))) for p in ours.get(group["set_id"][0].as_py(), [])]
+        columns = list(zip(*rows)) or [[], []]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64()))], ["family_id", "cells"])
+
+    out = cube.counted.where(F.col("set_id").isin(sorted(ours))).groupBy("set_id").applyInArrow(count, "family_id int, cells bigint")
+    return out.unionByName(_by_expression(cube, large).groupBy("family_id").agg(F.count("*").alias("cells"))) if large else out
+
+
 def chi2_of(n: np.ndarray, stratum: np.ndarray, x: np.ndarray, y: np.ndarray, rx: int, ry: int) -> tuple[float, int]:
     """Statistic and degrees of freedom of one test from its occupied cells.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.mathx import lgamma
+from causeway.operators import cube
 from causeway.operators.counts import Family, family_counts, family_frame
 from causeway.operators.encode import Encoded
+from causeway.session import collect_bounded
 
 
 def bdeu_from_counts(counts: DataFrame, meta: DataFrame, ess: float = 1.0) -> DataFrame:
@@ -114,6 +117,33 @@ def functional_dependencies(encoded: Encoded) -> DataFrame:
     )
 
 
+def minimal_dependencies(encoded: Encoded, max_size: int = 3) -> list[tuple[tuple[str, ...], str]]:
+    """(determinant, dependent): all smallest sets of up to ``max_size`` columns that fix another column.
+
+    Level by level: a set fixes a column if adding it makes no more combinations of states. The
+    combinations of a level are counted by one cube over one scan; only these counts come to the driver.
+    Sets with a member that the others fix (such sets are never counted), and sets that hold a determinant
+    of the column already, are not asked about. A constant column is fixed by the empty set.
+    """
+    names = sorted(encoded.columns)
+    sizes: dict[tuple[str, ...], int] = {(): 1}
+    found: dict[str, list[set[str]]] = {y: [] for y in names}
+    out = []
+    for k in range(max_size + 1):
+        free = [s for s in combinations(names, k) if s in sizes and all(sizes.get(t) != sizes[s] for t in combinations(s, k - 1))] if k else [()]
+        open_ = [(s, y) for s in free for y in names if y not in s and not any(d <= set(s) for d in found[y])]
+        asked = sorted({tuple(sorted((*s, y))) for s, y in open_} - sizes.keys())
+        if asked:
+            counted = cube.build(encoded, set(asked))
+            rows = collect_bounded(cube.occupied(counted, asked, encoded.cards), "combinations of columns")
+            sizes |= {asked[r["family_id"]]: r["cells"] for r in rows}
+        for s, y in open_:
+            if sizes.get(tuple(sorted((*s, y)))) == sizes[s]:
+                found[y].append(set(s))
+                out.append((s, y))
+    return out
+
+
 def linear_dependencies(cov: np.ndarray, columns: Sequence[str],
                         threshold: float = 1e-5) -> list[tuple[str, list[str]]]:
     """Columns whose relative residual variance given all others falls below a threshold."""

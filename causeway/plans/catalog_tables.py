@@ -13,7 +13,7 @@ from causeway.operators import counts, encode, sampling, scores
 from causeway.operators.counts import Family
 from causeway.plans import workloads as w
 from causeway.plans.registry import query
-from causeway.session import shared_dir
+from causeway.session import local_frame, shared_dir
 from causeway.sources import tables
 
 CUBE = ["returnflag", "linestatus", "orderstatus", "late", "shipyear"]
@@ -378,6 +378,42 @@ def functional_deps(spark, sf):
     return scores.functional_dependencies(encode.encode_table(t, FD))
 
 
+LATTICE = [*w.STAR_COLUMNS, "terms", "mix"]  # terms stands for two columns, mix follows from three
+
+
+def _lattice_sql() -> str:
+    """Combinations of up to four columns, then sets that no smaller set makes needless."""
+    names = sorted(LATTICE)
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {c})" for c in names)
+    sizes = ["SELECT []::BIGINT[] AS s, 1 AS k"]
+    for n in (1, 2, 3, 4):
+        v = "abcd"[:n]
+        sets = ", ".join(f"unnest(range(1, {len(names) + 1})) AS t{c}({c})" for c in v)
+        order = " AND ".join(f"{p} < {q}" for p, q in zip(v, v[1:])) or "TRUE"
+        sizes.append(f"SELECT [{', '.join(v)}] AS s, count(*) AS k FROM (SELECT DISTINCT {', '.join(f'{c}, v[{c}]' for c in v)}"
+                     f" FROM coded, (SELECT * FROM {sets} WHERE {order}) q) GROUP BY {', '.join(v)}")
+    return f"""{STAR}, wide AS (SELECT *, discount || '/' || tax AS terms,
+  CAST((CAST(discount AS INT) + CAST(tax AS INT) + CAST(quantity AS INT)) % 3 AS VARCHAR) AS mix FROM star),
+coded AS (SELECT [{codes}]::SMALLINT[] AS v FROM wide), sizes AS ({' UNION ALL '.join(sizes)}),
+more AS (SELECT s, k, y, list_sort(list_append(s, y)) AS t FROM sizes, unnest(range(1, {len(names) + 1})) AS u(y)
+  WHERE len(s) <= 3 AND NOT list_contains(s, y)),
+det AS (SELECT more.s, more.y FROM more JOIN sizes q ON q.s = more.t WHERE q.k = more.k),
+least_ AS (SELECT * FROM det WHERE NOT EXISTS (
+  SELECT 1 FROM det d WHERE d.y = det.y AND len(d.s) < len(det.s) AND list_has_all(det.s, d.s)))
+SELECT array_to_string(list_transform(s, lambda i: names[i]), ',') AS determinant, names[y] AS dependent
+FROM least_, (SELECT [{', '.join(f"'{c}'" for c in names)}] AS names)"""
+
+
+@query("minimal_dependencies", _lattice_sql())
+def minimal_dependencies(spark, sf):
+    """Smallest sets of up to three columns that fix another one, over all columns and two derived ones."""
+    digits = F.col("discount").cast("int") + F.col("tax").cast("int") + F.col("quantity").cast("int")
+    wide = w.star(spark, sf).withColumns({"terms": F.concat_ws("/", "discount", "tax"), "mix": (digits % 3).cast("string")})
+    coded = encode.encode_table(wide, LATTICE)
+    found = [(",".join(s), y) for s, y in scores.minimal_dependencies(coded)]
+    return local_frame(spark, found, "determinant string, dependent string")
+
+
 SAMPLES, PICKED, SEED = 6, 40, 7
 _H = "CAST(('0x' || substr(md5({}), 1, 13)) AS UBIGINT)"
 _U = f"((CAST({_H} AS DOUBLE) + 0.5) / {float(2**BITS)!r})"

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from causeway.operators import citest, cube, encode
+from causeway.operators import citest, cube, encode, scores
 from causeway.operators.counts import Family
 
 NAMES = ["a", "b", "c", "d", "e"]
@@ -77,3 +77,16 @@ def test_no_rows(spark):
     coded = encode.encode_table(spark.createDataFrame([], "a string, b string"), ["a", "b"])
     built = cube.build(coded, {("a", "b")})
     assert cube.family_cells(built, [Family(0, "a", ("b",))], coded.cards).count() == 0
+
+
+def test_minimal_dependencies(spark, data, coded):
+    got = set(scores.minimal_dependencies(coded))
+    rows = [dict(zip(NAMES, r)) for r in data]
+    fixes = lambda s, y: len({tuple(r[c] for c in (*s, y)) for r in rows}) == len({tuple(r[c] for c in s) for r in rows})
+    want = set()
+    for k in range(4):
+        for s in combinations(NAMES, k):
+            for y in set(NAMES) - set(s):
+                if fixes(s, y) and not any(fixes(t, y) for j in range(k) for t in combinations(s, j)):
+                    want.add((s, y))
+    assert got == want and ((), "e") in got
