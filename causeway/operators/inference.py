@@ -9,10 +9,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators import signatures
 from causeway.operators.clique_tree import OPEN, Tree
 from causeway.operators.encode import evidence
 from causeway.plans.network import Network, Scope
-from causeway.session import collect_bounded, durable
+from causeway.session import broadcast_if_small, collect_bounded, durable, is_scan, local_frame
 
 SEP = "\u0001"
 
@@ -216,73 +217,36 @@ def priors(network: Network, spark) -> DataFrame:
 def predict_table(df: DataFrame, key: Sequence[str], network: Network) -> DataFrame:
     """(key.., node, prior, joint, label) for every row and node.
 
-    With a complete row the posterior needs only the node's own table and those of its
-    children, so each becomes a join that adds one likelihood vector per row: nothing is
-    exploded and, while the tables can be broadcast, no row is shuffled. Rows with NULLs
-    go through the general elimination.
+    Rows are grouped by the signatures of node groups (see ``signatures``): the posteriors of a signature
+    are computed once, and a row joins them once per group. While the signatures can be broadcast, no row
+    is shuffled for its answers. Rows with NULLs go through the general elimination.
     """
     network.require_parameters()
-    nodes = [n for n in network.nodes if n in df.columns]
-    if set(nodes) != set(network.nodes):
+    nodes = list(network.nodes)
+    if not set(nodes) <= set(df.columns):
         raise ValueError("the table lacks columns of the network")
-    text = df.select(*key, *[F.col(n).cast("string").alias(n) for n in nodes])
-    whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in nodes])
-    complete, partial = text.where(whole), text.where(~whole)
-    wide = complete
-    for node in nodes:
-        scope = network.scope(node)
-        mine = F.lit(None)
-        own_key = F.array(*[F.col(p) for p in scope.parents[node]])
-        vectors = [_likelihood(scope, node, node, network.states)]
-        names = [own_key]
-        for child in [c for c, ps in scope.parents.items() if node in ps]:
-            vectors.append(_likelihood(scope, child, node, network.states))
-            names.append(F.array(*[F.col(p) for p in scope.parents[child] if p != node], F.col(child)))
-        for i, (vec, name) in enumerate(zip(vectors, names)):
-            wide = wide.join(
-                vec.withColumnsRenamed({"vkey": f"k_{node}_{i}", "vec": f"l_{node}_{i}"}),
-                name == F.col(f"k_{node}_{i}"), "left",
-            ).drop(f"k_{node}_{i}")
-        uniform = F.array_repeat(F.lit(1.0), len(network.states[node]))
-        parts = [F.coalesce(f"l_{node}_{i}", uniform) for i in range(len(vectors))]
-        product = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x * y), parts)
-        wide = wide.withColumn(f"j_{node}", product).drop(
-            *[f"l_{node}_{i}" for i in range(len(vectors))]
-        )
-    entries = F.array(*[
-        F.struct(F.lit(n).alias("node"), F.col(n).alias("label"), F.col(f"j_{n}").alias("w"),
-                 F.array(*[F.lit(s) for s in network.states[n]]).alias("states"))
-        for n in nodes
-    ])
-    long = wide.select(*key, F.explode(entries).alias("e")).select(*key, "e.*")
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    joint = F.when(
-        F.col("total") > 0,
-        F.map_from_arrays("states", F.transform("w", lambda x: x / F.col("total"))),
-    )
-    done = long.withColumn("total", total).select(*key, "node", "label", joint.alias("joint"))
-    if not partial.isEmpty():
-        done = done.unionByName(_predict_partial(partial, key, nodes, network))
-    prior = priors(network, df.sparkSession).withColumnsRenamed({"target": "node", "dist": "prior"})
-    return done.join(prior, "node").select(*key, "node", "prior", "joint", "label")
-
-
-def _likelihood(scope: Scope, child: str, node: str, states: dict[str, list[str]]) -> DataFrame:
-    """(vkey, vec): P(child's state | its parents) as a vector over the node's states.
-
-    ``vkey`` is the key of the child's table without the node's own entry.
-    """
-    order = [*scope.parents[child], child]
-    at = order.index(node)
-    others = F.array(*[F.col("key")[i] for i in range(len(order)) if i != at])
-    rows = scope.factor(child).select(
-        (others if len(order) > 1 else F.array().cast("array<string>")).alias("vkey"),
-        F.col("key")[at].alias("state"), "p",
-    )
-    table = rows.groupBy("vkey").agg(F.map_from_entries(F.collect_list(F.struct("state", "p"))).alias("m"))
-    miss = F.lit(1.0 / len(states[child]))
-    every = F.array(*[F.lit(s) for s in states[node]])
-    return table.select("vkey", F.transform(every, lambda s: F.coalesce(F.col("m")[s], miss)).alias("vec"))
+    spark = df.sparkSession
+    rows = df.select(F.struct(*key).alias("row"), F.array(*[F.col(n).cast("string") for n in nodes]).alias("values"))
+    if not is_scan(df):
+        rows = durable(rows)
+    groups = signatures.node_groups(network)
+    found = durable(signatures.signatures(rows.select("values"), groups, nodes).groupBy("group_id", "signature").agg(
+        F.count("*").alias("n")))
+    done = signatures.predict(rows, network, groups, found)
+    prior = durable(priors(network, spark))
+    names = local_frame(spark, [(i, n, network.states[n]) for i, n in enumerate(nodes)], "number int, target string, states array<string>")
+    about = broadcast_if_small(names.join(prior, "target").select(
+        F.col("number").alias("node"), F.col("target").alias("name"), "states", F.col("dist").alias("prior")))
+    keys = [F.col("row")[k].alias(k) for k in key]
+    whole = done.join(about, "node").select(
+        *keys, F.col("name").alias("node"), "prior", F.map_from_arrays("states", "vec").alias("joint"), "label")
+    if found.where(F.col("group_id") == signatures.PARTIAL).isEmpty():
+        return whole
+    gaps = rows.where(F.exists("values", lambda v: v.isNull()))
+    text = gaps.select(*keys, *[F.col("values")[i].alias(n) for i, n in enumerate(nodes)])
+    by_name = about.select(F.col("name").alias("node"), "prior")
+    partial = _predict_partial(text, key, nodes, network).join(broadcast_if_small(by_name), "node")
+    return whole.unionByName(partial.select(*key, "node", "prior", "joint", "label"))
 
 
 def _predict_partial(rows: DataFrame, key: Sequence[str], nodes: list[str],
@@ -291,10 +255,11 @@ def _predict_partial(rows: DataFrame, key: Sequence[str], nodes: list[str],
     asked = rows.select(
         F.struct(*key).alias("row"), context.alias("context"),
         F.explode(F.array(*[F.lit(n) for n in nodes])).alias("target"),
-    ).withColumn("query_id", F.struct("row", "target"))
+    )
+    # the answer's id carries the row and its label, so repeated rows stay rows of their own
+    asked = asked.withColumn("query_id", F.struct("row", F.col("context")[F.col("target")].alias("label")))
     answers = posterior(asked.select("query_id", "target", "context"), network)
-    labelled = asked.select("query_id", F.col("context")[F.col("target")].alias("label"))
-    return answers.join(labelled, "query_id").select(
+    return answers.select(
         *[F.col("query_id.row")[k].alias(k) for k in key], F.col("target").alias("node"),
-        "label", F.col("dist").alias("joint"),
+        F.col("query_id.label").alias("label"), F.col("dist").alias("joint"),
     )
