@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 from typing import NamedTuple, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +21,9 @@ from causeway.operators.counts import Family, family_counts
 from causeway.operators.encode import Encoded
 from causeway.session import broadcast_if_small, collect_bounded, durable, local_frame
 
+RANKS = 10_000  # subsets that one row stands for before they are made
+
+
 class Test(NamedTuple):
     """Is x independent of y given s? x < y by name, s sorted."""
 
@@ -98,58 +106,91 @@ class Skeleton(NamedTuple):
     sepsets: dict[tuple[str, str], tuple[str, ...]]
 
 
-def level_tests(adj: dict[str, set[str]], depth: int) -> list[Test]:
-    """All tests of one depth: each adjacent pair, each subset of either end's neighbours."""
-    out = set()
-    for x in adj:
-        for y in adj[x]:
-            a, b = min(x, y), max(x, y)
-            for s in combinations(sorted(adj[x] - {y}), depth):
-                out.add(Test(a, b, s))
-    return sorted(out)
+def subset_at(rank: int, size: int, width: int) -> list[int]:
+    """Subset number ``rank`` of ``width`` out of ``size`` places, in order of the sorted places."""
+    out, place = [], 0
+    for left in range(width, 0, -1):
+        while (skipped := comb(size - place - 1, left - 1)) <= rank:
+            rank -= skipped
+            place += 1
+        out.append(place)
+        place += 1
+    return out
+
+
+def level_tests(edges: DataFrame, depth: int) -> DataFrame:
+    """(x, y, s): each adjacent pair (a, b) given each subset of ``depth`` other neighbours of either end.
+
+    A pair has ranges of ranks, one row for ``RANKS`` subsets, and executors turn each rank into its subset.
+    A subset of the neighbours of both ends comes from the first one only, so nothing has to be compared.
+    """
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct()
+    near = durable(both.groupBy("v").agg(F.array_sort(F.collect_list("u")).alias("us")))
+    x = near.select(F.col("v").alias("x"), F.col("us").alias("ux"))
+    y = near.select(F.col("v").alias("y"), F.col("us").alias("uy"))
+    ordered = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    pairs = ordered.join(broadcast_if_small(x), "x").join(broadcast_if_small(y), "y").select(
+        "x", "y", F.array_remove("ux", F.col("y")).alias("ux"), F.array_remove("uy", F.col("x")).alias("uy"))
+    sides = pairs.select("x", "y", F.col("ux").alias("from"), F.array().cast("array<string>").alias("not_in"))
+    if depth:  # without a condition there is one test, made by the first end
+        sides = sides.union(pairs.select("x", "y", "uy", "ux"))
+    subsets = reduce(lambda n, i: f"({n} * (size(`from`) - {i}) div {i + 1})", range(depth), "1L")
+    numbered = sides.where(F.size("from") >= depth).withColumn("subsets", F.expr(subsets))
+    ranges = numbered.select(
+        "x", "y", "from", "not_in", "subsets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subsets") - 1, F.lit(RANKS).cast("bigint"))).alias("start"))
+
+    def unrank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seen = set(row["not_in"])
+                found = []
+                for rank in range(row["start"], min(row["subsets"], row["start"] + RANKS)):
+                    s = [row["from"][i] for i in subset_at(rank, len(row["from"]), depth)]
+                    if not seen or not seen.issuperset(s):
+                        found.append(s)
+                yield pa.RecordBatch.from_pydict({
+                    "x": pa.array([row["x"]] * len(found), pa.string()), "y": pa.array([row["y"]] * len(found), pa.string()),
+                    "s": pa.array(found, pa.list_(pa.string()))})
+
+    return ranges.repartition("x", "y", "start").mapInArrow(unrank, "x string, y string, s array<string>")
+
+
+def level_statistics(encoded: Encoded, tests: DataFrame, depth: int) -> DataFrame:
+    """(x, y, s, stat, dof, p) of the written tests of one depth from one scan; see ``cube.block_statistics``."""
+    stats = cube.block_statistics(encoded, tests, depth + 2)
+    return stats.withColumn("p", chi2_p("stat", F.col("dof").cast("double")))
 
 
 def skeleton(encoded: Encoded, alpha: float, borderline: float = 0.0,
              advisor=None, union_sets: bool = True) -> Skeleton:
     """Start complete; at each depth run every test, remove separated pairs at its end.
 
-    All tests of a depth come from one scan of the table. ``advisor`` maps a frame of
-    borderline tests (test_id, x, y, s) to (test_id, score). With ``union_sets`` all sets
-    that separate a pair are united, otherwise the one with the largest p is kept.
+    The tests of a depth are made on executors and come from one scan of the table; only the separating set
+    of each separated pair comes back. ``advisor`` maps a frame of borderline tests (test_id, x, y, s) to
+    (test_id, score). With ``union_sets`` all sets that separate a pair are united, otherwise the one with
+    the largest p is kept.
     """
     spark = encoded.codes.sparkSession
     names = sorted(encoded.columns)
-    adj = {n: set(names) - {n} for n in names}
+    edges = set(combinations(names, 2))
     sepsets: dict[tuple[str, str], tuple[str, ...]] = {}
     depth = 0
-    while max(map(len, adj.values()), default=0) > depth:
-        tests = level_tests(adj, depth)
-        gone: dict[tuple[str, str], list[tuple[float, tuple[str, ...]]]] = {}
-        result = cube_tests(encoded, tests)
-        scores = None
+    while edges:
+        degree = Counter(v for e in edges for v in e)
+        if max(degree.values()) <= depth:
+            break
+        tests = durable(level_tests(local_frame(spark, sorted(edges), "a string, b string"), depth))
+        result = level_statistics(encoded, tests, depth).withColumn("test_id", F.array_join(F.concat(F.array("x", "y"), "s"), "\u0001"))
         if advisor is not None and borderline > 0:
             result = durable(result)
-            asked = local_frame(spark, [(i, *t[:2], list(t.s)) for i, t in enumerate(tests)],
-                                "test_id int, x string, y string, s array<string>")
-            near = result.where(is_borderline(F.col("p"), alpha, borderline)).select("test_id")
-            scores = advisor(asked.join(near, "test_id", "left_semi"))
-        if scores is not None:
-            result = result.join(scores, "test_id", "left")
+            near = result.where(is_borderline(F.col("p"), alpha, borderline)).select("test_id", "x", "y", "s")
+            result = result.join(advisor(near), "test_id", "left")
         else:
             result = result.withColumn("score", F.lit(None).cast("double"))
-        verdict = decide(F.col("p"), alpha, borderline, F.col("score"))
-        for row in collect_bounded(
-            result.where(verdict == "independent").select("test_id", "p"), "separations"
-        ):
-            t = tests[row["test_id"]]
-            gone.setdefault((t.x, t.y), []).append((row["p"], t.s))
-        for pair, sets in gone.items():
-            if union_sets:
-                sepsets[pair] = tuple(sorted({v for _, s in sets for v in s}))
-            else:
-                sepsets[pair] = max(sets)[1]
-            adj[pair[0]].discard(pair[1])
-            adj[pair[1]].discard(pair[0])
+        separated = result.where(decide(F.col("p"), alpha, borderline, F.col("score")) == "independent")
+        chosen = F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))) if union_sets else F.max(F.struct("p", "s"))["s"]
+        for row in collect_bounded(separated.groupBy("x", "y").agg(chosen.alias("s")), "separated pairs"):
+            sepsets[row["x"], row["y"]] = tuple(row["s"])
+            edges.discard((row["x"], row["y"]))
         depth += 1
-    edges = {(a, b) for a in adj for b in adj[a] if a < b}
     return Skeleton(edges, sepsets)

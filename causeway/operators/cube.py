@@ -272,6 +272,69 @@ def test_statistics(cube: Cube, tests: Sequence, cards: dict[str, int]) -> DataF
     return out.unionByName(chi2_statistics(durable(rolled)).select("test_id", "stat", "dof"))
 
 
+def blocks(names: Sequence[str], cards: dict[str, int], width: int, small: int = SMALL_SPACE) -> list[tuple[str, ...]]:
+    """Columns dealt into blocks; ``width`` of those with several columns have at most ``small`` states together."""
+    out: list[list[str]] = []
+    for v in sorted(names, key=lambda v: (cards[v], v)):
+        if out and space([*out[-1], v], cards) ** width <= small:
+            out[-1].append(v)
+        else:
+            out.append([v])
+    return [tuple(b) for b in out]
+
+
+def block_statistics(encoded: Encoded, tests: DataFrame, width: int, small: int = SMALL_SPACE, group_cells: int = GROUP_CELLS) -> DataFrame:
+    """(x, y, s, stat, dof) of a written frame of tests (x, y, s) over at most ``width`` columns each.
+
+    A test is answered by the union of the blocks its columns lie in. The driver learns which unions occur,
+    never the tests: these meet the cells of their union in the cluster.
+    """
+    spark, cards = tests.sparkSession, encoded.cards
+    dealt = blocks(encoded.columns, cards, width, small)
+    block_of = F.create_map(*[F.lit(v) for i, b in enumerate(dealt) for c in b for v in (c, i)])
+    every = F.concat("s", F.array("x", "y"))
+    tests = tests.withColumn("blocks", F.array_sort(F.array_distinct(F.transform(every, lambda v: block_of[v]))))
+    unions = sorted(tuple(r["blocks"]) for r in collect_bounded(tests.select("blocks").distinct(), "unions of blocks"))
+    sets = [tuple(sorted(c for i in u for c in dealt[i])) for u in unions]
+    places = [dict(zip(s, strides(s[:-1], s[-1], cards))) for s in sets]
+    number = local_frame(spark, [(list(u), k) for k, u in enumerate(unions)], "blocks array<int>, set_id int")
+    tests = tests.join(broadcast_if_small(number), "blocks").drop("blocks")
+    counted = durable(cells(encoded.codes, sets, cards))
+    sizes = counted.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") > group_cells)
+    many = sorted(r["set_id"] for r in collect_bounded(sizes, "unions of blocks"))
+    schema = "x string, y string, s array<string>, stat double, dof bigint"
+
+    def tested(asked: pa.Table, cell_rows: pa.Table) -> pa.Table:
+        cell, n = cell_rows["cell"].to_numpy(), cell_rows["n"].to_numpy()
+        out = []
+        for t in asked.to_pylist() if len(cell) else []:
+            names = (*t["s"], t["x"], t["y"])
+            digits = [(places[t["set_id"]][c], max(1, cards[c])) for c in names]
+            key, m = summed(project(cell, Projection(0, t["set_id"], digits, strides(names[:-1], names[-1], cards))), n)
+            rx, ry = max(1, cards[t["x"]]), max(1, cards[t["y"]])
+            out.append((t["x"], t["y"], t["s"], *chi2_of(m.astype(float), key // (rx * ry), key // ry % rx, key % ry, rx, ry)))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["x", "y", "s", "stat", "dof"])
+
+    fits = ~F.col("set_id").isin(many) if many else F.lit(True)
+    out = tests.where(fits).groupBy("set_id").cogroup(counted.where(fits).groupBy("set_id")).applyInArrow(tested, schema)
+    if not many:
+        return out
+    from causeway.operators.citest import chi2_statistics
+
+    layout = local_frame(spark, [(k, places[k]) for k in many], "set_id int, place map<string,bigint>")
+    states = F.create_map(*[F.lit(v) for c in encoded.columns for v in (c, max(1, cards[c]))])
+    large = tests.join(broadcast_if_small(layout), "set_id").select(
+        "set_id", F.struct("x", "y", "s").alias("test_id"), states[F.col("x")].cast("bigint").alias("rx"),
+        states[F.col("y")].cast("bigint").alias("ry"),
+        F.transform(every, lambda v: F.struct(F.col("place")[v].alias("at"), states[v].cast("bigint").alias("states"))).alias("digits"))
+    cell = F.expr("aggregate(digits, 0L, (a, d) -> a * d.states + (cell div d.at) % d.states)")
+    rolled = counted.join(large, "set_id").groupBy("test_id", "rx", "ry", cell.alias("cell")).agg(F.sum("n").alias("n")).select(
+        "test_id", F.expr("cell div (rx * ry)").alias("stratum"), F.expr("(cell div ry) % rx").alias("x"), F.expr("cell % ry").alias("y"), "n")
+    return out.unionByName(chi2_statistics(durable(rolled)).select("test_id.*", "stat", "dof"))
+
+
 def all_tests(columns: Sequence[str], depth: int) -> list:
     """Every test of two columns given up to ``depth`` others."""
     from itertools import combinations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from causeway.functions.mathx import chi2_tail
@@ -331,6 +333,21 @@ def chi2_cube(spark, sf):
     return stats.join(broadcast_if_small(names), "test_id").select("x", "y", "given", F.round("stat", 2).alias("stat"), "dof")
 
 
+@query("skeleton_tests", f"""WITH every AS ({_cube_sql()}), near AS (SELECT x, y FROM every WHERE given = '' AND stat > dof),
+ends AS (SELECT x AS v, y AS u FROM near UNION ALL SELECT y, x FROM near), around AS (SELECT v, list(u) AS us FROM ends GROUP BY v)
+SELECT every.* FROM every JOIN near USING (x, y) JOIN around a ON a.v = x JOIN around b ON b.v = y
+WHERE list_has_all(a.us, str_split_regex(given, ',')) OR list_has_all(b.us, str_split_regex(given, ',')) OR given = ''""")
+def skeleton_tests(spark, sf):
+    """Tests of depth 0 to 2 over the pairs whose own statistic is above its freedom."""
+    coded = encode.encode_table(w.star(spark, sf), w.STAR_COLUMNS)
+    every = local_frame(spark, [*combinations(sorted(w.STAR_COLUMNS), 2)], "a string, b string")
+    found = durable(citest.level_statistics(coded, durable(citest.level_tests(every, 0)), 0))
+    near = durable(found.where(F.round("stat", 2) > F.col("dof")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    levels = [citest.level_statistics(coded, durable(citest.level_tests(near, d)), d) for d in range(3)]
+    return levels[0].union(levels[1]).union(levels[2]).select(
+        "x", "y", F.array_join("s", ",").alias("given"), F.round("stat", 2).alias("stat"), "dof")
+
+
 def _critical(dof: int, alpha: float = 0.001) -> float:
     """Statistic whose tail probability is alpha."""
     lo, hi = 0.0, 1000.0

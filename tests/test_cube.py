@@ -1,5 +1,6 @@
 """The contingency cube against plain counts, with and without the array paths."""
 
+import math
 from collections import Counter
 from itertools import combinations
 
@@ -73,6 +74,50 @@ def test_same_as_tests_on_their_own(coded):
     assert all(a[k] == (pytest.approx(b[k][0], abs=1e-7), b[k][1], pytest.approx(b[k][2], abs=1e-9)) for k in a)
 
 
+def plain_tests(edges, depth):
+    around = {v: {b if a == v else a for a, b in edges if v in (a, b)} for e in edges for v in e}
+    return {(min(e), max(e), s) for e in edges for v, u in (e, e[::-1]) for s in combinations(sorted(around[v] - {u}), depth)}
+
+
+def test_subsets_by_rank():
+    for size, width in ((5, 0), (5, 1), (6, 3), (4, 4), (9, 5)):
+        assert [tuple(citest.subset_at(r, size, width)) for r in range(math.comb(size, width))] == list(combinations(range(size), width))
+
+
+@pytest.mark.parametrize("ranks", [1, 3, 10_000])
+def test_tests_of_a_level(spark, monkeypatch, ranks):
+    monkeypatch.setattr(citest, "RANKS", ranks)
+    edges = [("a", "b"), ("c", "a"), ("a", "d"), ("b", "e"), ("d", "e"), ("f", "g")]
+    frame = spark.createDataFrame(edges, "a string, b string")
+    for depth in range(4):
+        got = [(r.x, r.y, tuple(r.s)) for r in citest.level_tests(frame, depth).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_tests(edges, depth)
+    assert citest.level_tests(frame.limit(0), 1).count() == 0
+
+
+@pytest.mark.parametrize("small, group_cells", [(1 << 14, 1 << 21), (1, 1 << 21), (1 << 14, 0), (60, 9)])
+def test_block_statistics(spark, coded, small, group_cells):
+    tests = cube.all_tests(NAMES, 2)
+    frame = spark.createDataFrame([(t.x, t.y, list(t.s)) for t in tests], "x string, y string, s array<string>").coalesce(1)
+    got = {(r.x, r.y, tuple(r.s)): (r.stat, r.dof) for r in cube.block_statistics(coded, frame, 4, small, group_cells).collect()}
+    want = {tests[r.test_id]: (r.stat, r.dof) for r in citest.cube_tests(coded, tests).collect()}
+    assert got.keys() == want.keys() and all(got[t] == (pytest.approx(want[t][0], abs=1e-7), want[t][1]) for t in want)
+
+
+@pytest.mark.parametrize("united", [True, False])
+def test_skeleton_equals_plain_search(coded, united):
+    edges, sets = set(combinations(sorted(NAMES), 2)), {}
+    for depth in range(4):
+        tests = [citest.Test(*t) for t in sorted(plain_tests(edges, depth))]
+        p = {tests[r.test_id]: r.p for r in citest.cube_tests(coded, tests).collect()} if tests else {}
+        for pair in {(t.x, t.y) for t in tests if p[t] > 0.05}:
+            own = [(p[t], t.s) for t in tests if (t.x, t.y) == pair and p[t] > 0.05]
+            sets[pair] = tuple(sorted({v for _, s in own for v in s})) if united else max(own)[1]
+            edges.discard(pair)
+    found = citest.skeleton(coded, 0.05, union_sets=united)
+    assert found.edges == edges and found.sepsets == sets
+
+
 def test_no_rows(spark):
     coded = encode.encode_table(spark.createDataFrame([], "a string, b string"), ["a", "b"])
     built = cube.build(coded, {("a", "b")})
