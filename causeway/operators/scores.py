@@ -157,3 +157,34 @@ def linear_dependencies(cov: np.ndarray, columns: Sequence[str],
         if (cov[i, i] - cov[others, i] @ weights) / cov[i, i] < threshold:
             out.append((name, [columns[j] for j, w in zip(others, weights) if abs(w) > threshold]))
     return out
+
+
+def linear_relations(cov: np.ndarray, columns: Sequence[str],
+                     threshold: float = 1e-5) -> tuple[list[str], list[tuple[str, str, float]]]:
+    """Independent columns in order of their choice, and (dependent, basis, weight) of all other columns.
+
+    Rank-revealing: on the correlations, the column with most variance left by those chosen so far (the first by
+    name among equals) is swept in until no column keeps ``threshold`` of its own. What is left are exact
+    sums of chosen columns, and the sweeps have left their weights. Constant columns are in neither list.
+    """
+    names = sorted(c for i, c in enumerate(columns) if cov[i, i] > 0)
+    at = [columns.index(c) for c in names]
+    scale = np.sqrt(np.diag(cov)[at])
+    left = cov[np.ix_(at, at)] / np.outer(scale, scale)
+    np.fill_diagonal(left, 1.0)
+    chosen: list[int] = []
+    while len(chosen) < len(names):
+        k = int(np.argmax(np.round(np.diag(left), 9)))
+        pivot = left[k, k]
+        if pivot <= threshold:
+            break
+        row = left[k] / pivot
+        column = left[:, k] / pivot
+        left = left - np.outer(column, row) * pivot
+        left[k], left[:, k], left[k, k] = row, column, -1.0 / pivot
+        chosen.append(k)
+    relations = [
+        (names[j], names[k], float(left[k, j] * scale[j] / scale[k]))
+        for j in range(len(names)) if j not in chosen for k in chosen if abs(left[k, j]) > threshold
+    ]
+    return [names[k] for k in chosen], relations

@@ -414,6 +414,40 @@ def minimal_dependencies(spark, sf):
     return local_frame(spark, found, "determinant string, dependent string")
 
 
+MIXED = {"levy": "discount + tax", "rest": "totalprice - extendedprice", "net": "extendedprice - 2 * retailprice + 100 * quantity"}
+SUMS = sorted([*w.NUMERIC_COLUMNS, *MIXED])
+
+
+def _sweep_sql(threshold: float = 1e-5) -> str:
+    """One sweep after another over the correlations, as rows (i, j, v)."""
+    one = ", ".join([f"corr({a}, {b}) AS {a}_{b}" for a in SUMS for b in SUMS if a < b] + [f"stddev_samp({c}) AS s_{c}" for c in SUMS])
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS i, '{b}' AS j, {'1.0::DOUBLE' if a == b else min(a, b) + '_' + max(a, b)} AS v FROM one" for a in SUMS for b in SUMS)
+    out = [f"r0 AS MATERIALIZED ({pairs})"]
+    for k in range(1, len(SUMS) + 1):
+        r = f"r{k - 1}"
+        out.append(f"p{k} AS MATERIALIZED (SELECT i, v AS d FROM {r} WHERE i = j AND round(v, 9) > {threshold} ORDER BY round(v, 9) DESC, i LIMIT 1)")
+        out.append(f"""r{k} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = p.i AND a.j = p.i THEN -1 / d WHEN a.i = p.i OR a.j = p.i THEN a.v / d
+  ELSE a.v - x.v * y.v / d END AS v FROM {r} a, p{k} p JOIN {r} x ON x.j = p.i JOIN {r} y ON y.i = p.i WHERE x.i = a.i AND y.j = a.j
+  UNION ALL SELECT * FROM {r} WHERE NOT EXISTS (SELECT 1 FROM p{k}))""")
+    basis = " UNION ALL ".join(f"SELECT i FROM p{k}" for k in range(1, len(SUMS) + 1))
+    scale = " UNION ALL ".join(f"SELECT '{c}' AS c, s_{c} AS s FROM one" for c in SUMS)
+    return f"""{NUM}, wide AS (SELECT *, {', '.join(f'{e} AS "{c}"' for c, e in MIXED.items())} FROM num),
+one AS MATERIALIZED (SELECT {one} FROM wide), {', '.join(out)},
+basis AS ({basis}), scale AS ({scale})
+SELECT f.j AS dependent, f.i AS basis, round(f.v * a.s / b.s, 6) AS weight FROM r{len(SUMS)} f JOIN scale a ON a.c = f.j JOIN scale b ON b.c = f.i
+WHERE f.i IN (SELECT i FROM basis) AND f.j NOT IN (SELECT i FROM basis) AND abs(f.v) > {threshold}"""
+
+
+@query("linear_dependencies", _sweep_sql())
+def linear_dependencies(spark, sf):
+    """Seven numeric columns and three sums of them: which follow from the others, and with what weights."""
+    wide = w.star_numeric(spark, sf).withColumns({c: F.expr(e) for c, e in MIXED.items()})
+    cov, _ = counts.covariance_matrix(wide, SUMS)
+    found = [(d, b, round(x, 6)) for d, b, x in scores.linear_relations(cov, SUMS)[1]]
+    return local_frame(spark, found, "dependent string, basis string, weight double")
+
+
 SAMPLES, PICKED, SEED = 6, 40, 7
 _H = "CAST(('0x' || substr(md5({}), 1, 13)) AS UBIGINT)"
 _U = f"((CAST({_H} AS DOUBLE) + 0.5) / {float(2**BITS)!r})"

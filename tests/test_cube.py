@@ -135,3 +135,18 @@ def test_minimal_dependencies(spark, data, coded):
                 if fixes(s, y) and not any(fixes(t, y) for j in range(k) for t in combinations(s, j)):
                     want.add((s, y))
     assert got == want and ((), "e") in got
+
+
+def test_linear_relations():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4)) * [1, 50, 0.01, 3]
+    wide = np.column_stack([x, x[:, 0] - 2 * x[:, 1], x[:, 1] + x[:, 2] * 1000 + x[:, 3], np.full(500, 7.0), x[:, 3] * -4])
+    names = list("abcdefgh")
+    basis, relations = scores.linear_relations(np.cov(wide.T), names)
+    assert len(basis) == 4 and "g" not in basis
+    centred = dict(zip(names, (wide - wide.mean(axis=0)).T))
+    for dependent in set(names) - set(basis) - {"g"}:
+        parts = [(b, weight) for d, b, weight in relations if d == dependent]
+        assert {b for b, _ in parts} <= set(basis)
+        assert np.allclose(sum(weight * centred[b] for b, weight in parts), centred[dependent], atol=1e-6)
+    assert scores.linear_relations(np.zeros((1, 1)), ["a"]) == ([], []) and scores.linear_relations(np.eye(2), ["a", "b"]) == (["a", "b"], [])
