@@ -18,24 +18,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import mix, query, read, slices
+from causeway.llm.common import mix, query, read, slices, token_hashes
 from causeway.session import durable
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
-CACHE_WORDS = 400_000
+TABLE_BYTES = 32_000_000
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MARKS = b".,;:!?#$%&*"
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 ASCII_WORD = frozenset(bytes([b]) for b in b"abcdefghijklmnopqrstuvwxyz0123456789")
 GROUPED = 1 << 62  # sequence ids of packed groups start here
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word; words hold no ASCII white space and are not empty."""
+    return token_hashes(np.frombuffer(b" ".join(words), np.uint8), SPACE)[2]
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and case, so that words are encoded once each.
 
     Texts are split at ASCII white space, which the tokenizer treats as a border as well. A-Z is
     lower-cased first, and a new word's closing punctuation after an ASCII letter or digit, another
-    border, is encoded apart. Texts with the opening of a special token are only split.
+    border, is encoded apart. Texts with the opening of a special token are only split. Words met so
+    far are a sorted table of hashes with places in one array of ids; a table beyond ``TABLE_BYTES``
+    starts anew.
     """
 
     def __init__(self, path: str):
@@ -43,46 +51,77 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # words of the time before, until they are met again
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of all ``words``: from the older ones, or encoded."""
-        fresh = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table of each hash, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def _add(self, hashes: np.ndarray, coded: list[bytes]) -> None:
+        """Enter new hashes, in ascending order, with their ids."""
+        count = np.array([len(c) // 4 for c in coded], np.int64)
+        first = len(self.ids) + np.cumsum(count) - count
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Enter ``words``, none of which is in the table, with their ascending hashes."""
+        parts: dict[bytes, bytes] = {}
+        cut = []
         for w in words:
-            ids = self.older.get(w)
-            if ids is None:
-                fresh.append(w)
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and core[-1:] in ASCII_WORD and b"<|" not in w:
+                cut.append(len(core))
+                parts[core] = parts[w[len(core):]] = b""
             else:
-                self.known[w] = ids
+                cut.append(0)
+                parts[w] = b""
+        names = list(parts)
+        at, known = self._find(_hashes(names))
+        for k in np.flatnonzero(known).tolist():
+            first = self.first[at[k]]
+            parts[names[k]] = self.ids[first:first + self.count[at[k]]].tobytes()
+        fresh = [names[k] for k in np.flatnonzero(~known).tolist()]
         for i in range(0, len(fresh), 20_000):
             some = fresh[i:i + 20_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded))
+        self._add(hashes, [parts[w[:c]] + parts[w[c:]] if c else parts[w] for w, c in zip(words, cut)])
+        extra = {h: w for h, w in zip(_hashes(fresh).tolist(), fresh)} if fresh else {}
+        order = np.array(sorted(extra), np.uint64)
+        order = order[~self._find(order)[1]]
+        self._add(order, [parts[extra[h]] for h in order.tolist()])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL counts as empty."""
-        split = []
-        for t in texts:
-            data = (t or "").encode()
-            split.append((data if b"<|" in data else data.translate(LOWERED)).split())
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        whole, ended = set(), []
-        for w in set().union(*split).difference(known):
-            core = w.rstrip(MARKS)
-            if len(core) < len(w) and core[-1:] in ASCII_WORD and w not in older and b"<|" not in w:
-                ended.append((w, core))
-                whole |= {core, w[len(core):]}
-            else:
-                whole.add(w)
-        self._learn(whole.difference(known))
-        for w, core in ended:
-            known[w] = known[core] + known[w[len(core):]]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        parts = [(t or "").encode() for t in texts]
+        parts = [p if b"<|" in p else p.translate(LOWERED) for p in parts]
+        data = b"\n".join(parts)
+        start, end, hashes = token_hashes(np.frombuffer(data, np.uint8), SPACE)
+        if self.hashes.nbytes * 3 + self.ids.nbytes > TABLE_BYTES:
+            self._forget()
+        distinct, place, word = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self._find(distinct)[1])
+        if len(new):
+            spans = zip(start[place[new]].tolist(), end[place[new]].tolist())
+            self._learn([data[a:b] for a, b in spans], distinct[new])
+        entry = self._find(distinct)[0][word]
+        count = self.count[entry]
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[entry] - ends + count, count) + np.arange(count.sum())]
+        text_end = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
+        bounds = np.concatenate(([0], ends))[np.searchsorted(start, text_end)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *bounds], bounds)]
 
 
 @lru_cache(maxsize=1)

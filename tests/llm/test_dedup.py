@@ -196,3 +196,16 @@ def test_word_tokenizer_equals_whole_texts():
              "don't, stop... (now)! 3.14, 5% #7;", "tab\tx,\ny.\x0b\x0cz"]
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_word_tokenizer_over_many_batches(monkeypatch):
+    """The same ids whether words are new, met before, or forgotten as the table is full."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batches = [[f"word{i}, w{i}x! “q{i}” word{i - 7}... {i}", None, "", " \t ", f"{i} " * 300] for i in range(40)]
+    for bound in (packing.TABLE_BYTES, 2_000, 0):
+        monkeypatch.setattr(packing, "TABLE_BYTES", bound)
+        own = packing.WordTokenizer(path)
+        for batch in batches:
+            want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in batch]
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(batch)] == want
+            assert (own.hashes[1:] > own.hashes[:-1]).all()
