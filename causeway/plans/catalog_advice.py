@@ -18,6 +18,7 @@ from causeway.plans.prompts import system_text
 from causeway.plans.registry import query
 from causeway.session import durable, shared_dir
 from causeway.sources import bif, dictionary, documents, sweep
+from causeway.sources.response_log import ResponseLog
 
 SETTINGS = RequestSettings(model="advisor", max_tokens=256)
 
@@ -82,6 +83,30 @@ def stored_answers(spark, sf):
     return advice.storable(answers).select("key", "content")
 
 
+@query("response_log", """WITH stored AS (SELECT 'c' || o_custkey AS key, year(o_orderdate) AS seq,
+  o_orderpriority || ':' || o_orderkey AS content FROM orders WHERE o_orderstatus <> 'P'),
+latest AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, content DESC) AS place FROM stored)
+SELECT 'c' || c_custkey AS key, content, CAST(seq AS BIGINT) AS seq
+FROM customer LEFT JOIN (SELECT * FROM latest WHERE place = 1) AS l ON l.key = 'c' || c_custkey""")
+def response_log(spark, sf):
+    """A response per order, appended half year by half year under its year; each customer looks up the latest one."""
+    orders = w.table(spark, sf, "orders")
+    half = F.floor((F.month("o_orderdate") - 1) / 6).cast("int")
+    answers = orders.select(
+        F.concat(F.lit("c"), "o_custkey").alias("key"), F.concat_ws(":", "o_orderpriority", "o_orderkey").alias("content"),
+        (F.col("o_orderstatus") == "P").alias("truncated"), F.lit(None).cast(advice.USAGE).alias("usage"),
+        F.year("o_orderdate").alias("year"), half.alias("half"))
+    answers = durable(answers, ["year", "half"])
+    log = ResponseLog(spark, os.path.join(shared_dir(spark), f"log-{uuid.uuid4().hex}"), buckets=8)
+    times = sorted(tuple(r) for r in answers.select("year", "half").where("year IS NOT NULL").distinct().collect())
+    for year, part in times:
+        log.append(answers.where((F.col("year") == year) & (F.col("half") == part)), year)
+    log.compact()
+    asked = w.table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"))
+    return asked.join(log.lookup(asked).drop("usage"), "key", "left")
+
+
+
 LISTS = """answers AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'none of them' WHEN user_id % 5 = 1
   THEN 'I see ["' || event_type || '", ''user' || user_id || ''', "' || event_type || '"] and ["x"]'
   ELSE 'drop [' || user_id || ', 2] then [7]' END AS content FROM events)"""

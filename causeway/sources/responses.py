@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from causeway.config import RequestSettings
 from causeway.operators import advice
-from causeway.session import durable, local_frame
+from causeway.session import durable, local_frame, shared_dir
+from causeway.sources.response_log import ResponseLog
 
 STORE = f"key string, content string, usage {advice.USAGE}, seq bigint"
 
@@ -36,38 +38,46 @@ def append_store(answers: DataFrame, path: str, seq: int) -> None:
 class Advisor:
     """Answers request tables from stored responses and, for misses, a responder.
 
-    Keeps the calls made within the budget and records them for the usage ledger. Every batch is
-    written once as a part of its own; parts are put together when they are read.
+    Keeps the calls made within the budget and records them for the usage ledger. Responses go to a
+    bucketed log, calls to one growing folder, so plans do not grow with the number of batches.
     """
 
     def __init__(self, spark: SparkSession, settings: RequestSettings, store: DataFrame | None = None,
-                 responder: advice.Responder | None = None, max_calls: int = 20_000) -> None:
+                 responder: advice.Responder | None = None, max_calls: int = 20_000, buckets: int = 16) -> None:
         self.spark, self.settings = spark, settings
-        self._stored = [durable(store.select("key", "content", "usage"))] if store is not None else []
-        self._called: list[DataFrame] = []
+        folder = os.path.join(shared_dir(spark), f"advice-{uuid.uuid4().hex}")
+        self._log, self._calls = ResponseLog(spark, f"{folder}/responses", buckets), f"{folder}/calls"
+        self._batches = 0
+        if store is not None:
+            self._append(store.select("key", "content", "usage", F.lit(False).alias("truncated")))
+        self._recorded: StructType | None = None
         self.responder, self.max_calls = responder, max_calls
         self.made = 0
 
+    def _append(self, answers: DataFrame) -> None:
+        self._batches += 1
+        self._log.append(answers, self._batches)
+
     @property
     def store(self) -> DataFrame | None:
         """All stored responses."""
-        return reduce(DataFrame.unionByName, self._stored) if self._stored else None
+        return self._log.latest().drop("seq") if self._batches else None
 
     @property
     def calls(self) -> DataFrame | None:
         """All recorded calls."""
-        return reduce(DataFrame.unionByName, self._called) if self._called else None
+        return self.spark.read.schema(self._recorded).parquet(self._calls) if self._recorded else None
 
     def answer(self, rendered: DataFrame, op: str) -> DataFrame:
         """The rendered rows with ``content`` (NULL without an answer)."""
         asked = durable(advice.as_requests(rendered, op, self.settings))
-        known = self.store if self._stored else empty_store(self.spark).drop("seq")
+        known = self._log.lookup(asked).drop("seq")
         hits, misses = advice.split_requests(asked, known)
         fresh = None
         if self.responder is not None:
             self.made = advice.check_budget(misses, self.made, self.max_calls)
             fresh = durable(advice.ask(misses, self.responder))
-            self._stored.append(durable(advice.storable(fresh)))
+            self._append(fresh)
         self._record(hits, fresh, op)
         got = known.select("key", "content")
         if fresh is not None:
@@ -87,4 +97,5 @@ class Advisor:
         if fresh is not None:
             new = new.unionByName(rows(fresh.where("usage IS NOT NULL"), False,
                                        F.coalesce("truncated", F.lit(False))))
-        self._called.append(durable(new))
+        new.write.mode("append").parquet(self._calls)
+        self._recorded = new.schema
